@@ -3,28 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from corpusmill.llm.bpe import encode_digests
 from corpusmill.llm.exact_dedup import exact_dedup
 from corpusmill.llm.sharding import place
+from corpusmill.llm.token_files import read_by_key, write_token_files
+from corpusmill.session import scratch_path
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies on this machine; every executor has the same package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, slot, shard of every document."""
     return place(_documents(spark, sf_dir).select("doc_id"), ["doc_id"])
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the shards, then looks every document up in them by its key."""
+    docs = _documents(spark, sf_dir)
+    files = write_token_files(docs, scratch_path(spark, "token-files"), tokenizer_file("word_bpe_49k.json"), end_id=1)
+    return read_by_key(docs.select("doc_id"), files)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op3_sharding": op3_sharding,
+    "op5_token_files": op5_token_files,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_bpe": op9_bpe,
 }
 
 ORACLES = {
