@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusmill.llm.bpe import encode_digests
 from corpusmill.llm.exact_dedup import exact_dedup
 from corpusmill.llm.sharding import place
+from corpusmill.llm.simhash import near_duplicates
 from corpusmill.llm.token_files import read_by_key, write_token_files
 from corpusmill.session import scratch_path
 
@@ -22,6 +24,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(_documents(spark, sf_dir), shingle=3, distance=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, slot, shard of every document."""
     return place(_documents(spark, sf_dir).select("doc_id"), ["doc_id"])
@@ -43,6 +50,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
     "op3_sharding": op3_sharding,
     "op5_token_files": op5_token_files,
     "op6_exact_dedup": op6_exact_dedup,
