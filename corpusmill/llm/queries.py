@@ -9,6 +9,7 @@ from corpusmill.llm.bpe import encode_digests
 from corpusmill.llm.exact_dedup import exact_dedup
 from corpusmill.llm.sharding import place
 from corpusmill.llm.simhash import near_duplicates
+from corpusmill.llm.token_counts import token_counts
 from corpusmill.llm.token_files import read_by_key, write_token_files
 from corpusmill.session import scratch_path
 
@@ -49,12 +50,17 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_sharding": op3_sharding,
     "op5_token_files": op5_token_files,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_bpe": op9_bpe,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES = {
