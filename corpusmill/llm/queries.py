@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.llm import quality
 from corpusmill.llm.bpe import encode_digests
 from corpusmill.llm.exact_dedup import exact_dedup
+from corpusmill.llm.packing import pack
 from corpusmill.llm.sharding import place
 from corpusmill.llm.simhash import near_duplicates
 from corpusmill.llm.token_counts import token_counts
@@ -46,6 +48,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=0)
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    rules = quality.learn_from(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.judged(docs, rules).select("row.doc_id", *quality.STATS, "base_failed", "kept")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
@@ -59,6 +71,8 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op5_token_files": op5_token_files,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_packing": op7_packing,
+    "op8_quality_rules": op8_quality_rules,
     "op9_bpe": op9_bpe,
     "op10_token_counts": op10_token_counts,
 }
