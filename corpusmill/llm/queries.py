@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm import quality
 from corpusmill.llm.bpe import encode_digests
 from corpusmill.llm.exact_dedup import exact_dedup
+from corpusmill.llm.line_dedup import line_classes
 from corpusmill.llm.packing import pack
 from corpusmill.llm.sharding import place
 from corpusmill.llm.simhash import near_duplicates
@@ -27,6 +28,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document, with its class, the class's number of links, and whether it goes."""
+    return line_classes(_documents(spark, sf_dir)).drop("rid")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_documents(spark, sf_dir), shingle=3, distance=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -67,6 +73,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_simhash": op2_simhash,
     "op3_sharding": op3_sharding,
     "op5_token_files": op5_token_files,
