@@ -154,16 +154,22 @@ def _bin(feature: str, cuts: list[float]) -> Column:
     return F.size(F.filter(F.lit(cuts), lambda c: c < F.col(feature))) if cuts else F.lit(0)
 
 
+def _threshold(cuts: list[float], above: bool, b: int) -> float:
+    """Midway to the next cut, where a condition asks for more than cut b, so that it needs a margin."""
+    return (cuts[b] + cuts[b + 1]) / 2 if above and b + 1 < len(cuts) else cuts[b]
+
+
 def learn(labelled: DataFrame, max_labelled: int = MAX_LABELLED, max_rules: int = MAX_RULES) -> DecisionList:
     """From rows of id, bad (boolean) and the features. Without bad and good rows the list is empty.
 
-    Rows of equal features and labels count as often as they occur; ties between conditions go to the
-    first feature in FEATURES, then to "above", then to the lowest threshold.
+    Thresholds are quantiles of the bad and of the good rows. Rows of equal features and labels count as
+    often as they occur. Ties between conditions go to the first feature in FEATURES, then to the condition
+    that fewer values meet.
     """
     sample = materialize(labelled.select("id", "bad", *FEATURES).where("bad is not null").orderBy(F.xxhash64("id"), "id").limit(max_labelled), "labelled")
     at = [i / BINS for i in range(1, BINS)]
-    row = sample.agg(*[F.percentile_approx(f, at, 10_000).alias(f) for f in FEATURES]).first()
-    cuts = {f: sorted(set(row[f] or [])) for f in FEATURES}
+    spread = sample.groupBy("bad").agg(*[F.percentile_approx(f, at, 10_000).alias(f) for f in FEATURES]).collect()
+    cuts = {f: sorted({x for r in spread for x in r[f] or []}) for f in FEATURES}
     bins = {f: _bin(f, cuts[f]) for f in FEATURES}
     binned = materialize(sample.select("bad", (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) < 2).alias("grow"), *[bins[f].alias(f) for f in FEATURES]).groupBy("bad", "grow", *FEATURES).count(), "binned")
     left, out = binned, DecisionList()
@@ -179,11 +185,14 @@ def learn(labelled: DataFrame, max_labelled: int = MAX_LABELLED, max_rules: int
             if p0 and n0:
                 for f in FEATURES:
                     p = n = 0
-                    for b, dp, dn in by[f][:-1]:
-                        p, n = p + dp, n + dn
+                    steps = {b: (dp, dn) for b, dp, dn in by[f]}
+                    for b in range(len(cuts[f])):  # rows of bins up to b have values up to cut b
+                        p, n = (x + dx for x, dx in zip((p, n), steps.get(b, (0, 0)), strict=True))
                         for above, x, y in ((True, p0 - p, n0 - n), (False, p, n)):
-                            if b < len(cuts[f]) and x >= MIN_COVERED and (g := _gain(x, y, p0, n0)) > 1e-9 and (best is None or g > best[0] + 1e-9):
-                                best = (g, (f, above, b))
+                            gain = _gain(x, y, p0, n0) if x >= MIN_COVERED else -1.0
+                            tighter = best is not None and abs(gain - best[0]) <= 1e-9 and best[1][:2] == (f, True) == (f, above)
+                            if gain > 1e-9 and (best is None or gain > best[0] + 1e-9 or tighter):
+                                best = (gain, (f, above, b))
             if best is None:
                 break
             rule.append(best[1])
@@ -195,7 +204,7 @@ def learn(labelled: DataFrame, max_labelled: int = MAX_LABELLED, max_rules: int
         if value(size) < 2 * MIN_PRECISION - 1:
             break
         rule = rule[:size]
-        out.rules.append(tuple(Condition(f, above, cuts[f][b]) for f, above, b in rule))
+        out.rules.append(tuple(Condition(f, above, _threshold(cuts[f], above, b)) for f, above, b in rule))
         left = left.where(~_covered(rule))
     return out
 
