@@ -25,20 +25,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.library_tokens import SPACE, words
+from corpusmill.llm.library_tokens import SPACE, byte_characters, words
 
 SHORT = 64
 CACHE_LIMIT = 300_000
 _NONE = 1 << 60
 
 
-def byte_characters() -> list[str]:
-    """The printable stand-in of each byte: itself where printable in Latin-1, else 256 and up in order."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
-
-
 class Bpe:
     def __init__(self, path: str, limit: int = CACHE_LIMIT):
         with open(path, encoding="utf-8") as f:

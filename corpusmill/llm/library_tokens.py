@@ -1,7 +1,8 @@
 """Ids as the tokenizers library gives them, with the library called once per distinct chunk.
 
 A text is cut where the tokenizer's own pre-tokenizer always cuts, at white space, so that the
-ids of a text are the ids of its chunks in a row. Chunks repeat a great deal; each distinct one
+ids of a text are the ids of its chunks in a row. A chunk goes through the library's normalizer,
+pre-tokenizer and model one after the other, each of its words looked up before it is tokenized. Chunks repeat a great deal; each distinct one
 goes to the library once per worker, or again if it was not seen while the cache filled up once,
 which changes no result. Texts that hold one of the tokenizer's added tokens go whole to the
 library, as those are found before any other cut.
@@ -21,8 +22,13 @@ import numpy as np
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Python's str.split() also cuts at these four, which are no White_Space.
 ODD_SPLITS = ("\x1c", "\x1d", "\x1e", "\x1f")
-CACHE_LIMIT = 400_000
+CACHE_LIMIT = 300_000
 
+#: Chunks of these only (with a space in front or not) are cut without the library: into runs of
+#: letters, digits, and runs of the rest. They have no apostrophe, which a pattern may take as a word's end.
+_plain = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+").fullmatch
+_plain_words = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-zÀ-ÖØ-öø-ÿ0-9]+").findall
+_plain_byte_words = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^A-Za-zÀ-ÖØ-öø-ÿ0-9 ]+").findall
 _words = re.compile(f"[^{SPACE}]+").findall
 _byte_chunks = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
 
@@ -36,6 +42,13 @@ def words(text: str) -> list[str]:
     return text.split()
 
 
+def byte_characters() -> list[str]:
+    """The printable stand-in of each byte: itself where printable in Latin-1, else 256 and up in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
 class ChunkEncoder:
     """Texts to id arrays (little-endian, 2 bytes an id where the vocabulary allows it)."""
 
@@ -49,7 +62,10 @@ class ChunkEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.added = [t["content"] for t in spec["added_tokens"]]
-        self.chunks = _byte_chunks if spec["normalizer"] is None else words
+        self.lower = spec["normalizer"] is not None
+        self.chunks, self.plain = (words, _plain_words) if self.lower else (_byte_chunks, _plain_byte_words)
+        self.byte_characters = byte_characters()
+        self.parts: dict[str, bytes] = {}  # of words, as the pre-tokenizer gives them
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # what the cache held when it was last full
@@ -58,6 +74,25 @@ class ChunkEncoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _chunk(self, chunk: str) -> bytes:
+        if _plain(chunk):
+            found = self.plain(chunk.lower() if self.lower else chunk)
+            mapped = False
+        else:
+            found = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk) if self.lower else chunk)]
+            mapped = True
+        out = []
+        for word in found:
+            if not mapped and not (word.isascii() and word[0] != " "):
+                word = "".join([self.byte_characters[b] for b in word.encode()])
+            got = self.parts.get(word)
+            if got is None:
+                if len(self.parts) > self.limit:
+                    self.parts.clear()
+                got = self.parts[word] = np.array([t.id for t in self.library.model.tokenize(word)], self.dtype).tobytes()
+            out.append(got)
+        return b"".join(out)
+
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         cache = self.cache
         for text in texts:
@@ -72,8 +107,7 @@ class ChunkEncoder:
                     self.older, self.cache = cache, (cache := {})
                 new = {c for c in chunks if c not in cache}
                 cache.update((c, self.older[c]) for c in new if c in self.older)
-                new = [c for c in new if c not in cache]
-                cache.update(zip(new, self._library(new), strict=True))
+                cache.update((c, self._chunk(c)) for c in new if c not in cache)
                 yield b"".join([cache[c] for c in chunks])
 
 
