@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import quality
+from corpusmill.llm import quality, warc
 from corpusmill.llm.bpe import encode_digests
 from corpusmill.llm.exact_dedup import exact_dedup
 from corpusmill.llm.line_dedup import line_classes
@@ -43,6 +43,13 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(_documents(spark, sf_dir).select("doc_id"), ["doc_id"])
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fixity drill: every page is archived twice, one bit is flipped in one of 97 records of the second replica."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = warc.fixity(pages, scratch_path(spark, "warc"), damage=warc.drill())
+    return found.select("page_id", "file", "offset", "length", "sha256", "corrupt")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the shards, then looks every document up in them by its key."""
     docs = _documents(spark, sf_dir)
@@ -76,6 +83,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash": op2_simhash,
     "op3_sharding": op3_sharding,
+    "op4_warc": op4_warc,
     "op5_token_files": op5_token_files,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,

@@ -27,6 +27,8 @@ from corpusmill.session import broadcast_if_small, materialize
 
 HOT = 2_000
 HOT_ANCHORS_BROADCAST = 100_000
+#: Ids of documents that go are broadcast up to this many; beyond it the join shuffles.
+GOING_BROADCAST = 1_000_000
 SEED = 42
 _BITS = np.arange(64, dtype=np.uint64)
 
@@ -211,6 +213,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its group; all columns kept."""
-    staying = near_duplicates(docs, shingle, distance).where("doc_id <=> component_id").select("doc_id")
-    return docs.join(staying.distinct(), docs["doc_id"].eqNullSafe(staying["doc_id"]), "left_semi")
+    """The rows of ``docs`` whose doc_id is the least of its group; all columns kept.
+
+    Rows that repeat one doc_id and text stay or go together.
+    """
+    going = materialize(near_duplicates(docs, shingle, distance).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("going")).distinct(), "near-duplicates")
+    return docs.join(broadcast_if_small(going, GOING_BROADCAST), docs["doc_id"].eqNullSafe(F.col("going")), "left_anti")
