@@ -1,6 +1,570 @@
-"""Queries over the driver's tables and the SQL that checks them."""
+"""Queries over the driver's tables and the SQL that checks them, one for each group of operators."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corpusmill.functions import phonetics
+from corpusmill.functions import text as X
+from corpusmill.operators import annotate, leakage, manifest, maps, perturb, select, validate
+from corpusmill.plans import fixtures as T
+from corpusmill.sources import tables
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+LETTER = "[a-z]"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _hashed(spark: SparkSession, d: str) -> DataFrame:
+    return T.documents(spark, d).withColumn("h", X.sha(X.norm(F.col("text"))))
+
+
+H = T.sha_norm_sql("text")
+
+
+# ------------------------------------------------------------------ normalisation, hashes, duplicates
+@query(f"SELECT {H} AS h, arg_min(source, doc_id) AS source, min(doc_id) AS doc_id, count(*) AS n_rows FROM documents GROUP BY 1")
+def norm_hash_export(spark, d):
+    return leakage.hash_list(_hashed(spark, d), "h", "doc_id", ["source", "doc_id"])
+
+
+@query(f"SELECT doc_id, {H} AS h, count(*) OVER (PARTITION BY {H}) AS family_size FROM documents")
+def dup_families(spark, d):
+    return leakage.families(_hashed(spark, d), "h", "doc_id")
+
+
+@query(f"SELECT n_total, n_blank, n_unique, n_total - n_blank - n_unique AS n_repeated FROM (SELECT count(*) AS n_total, count(*) FILTER (trim(text) = '') AS n_blank, count(DISTINCT {H}) FILTER (trim(text) <> '') AS n_unique FROM documents)")
+def norm_stats(spark, d):
+    return leakage.text_stats(_hashed(spark, d), "text", "h")
+
+
+@query("SELECT CASE WHEN length(text) <= 10 THEN '1-10' WHEN length(text) <= 15 THEN '11-15' WHEN length(text) <= 20 THEN '16-20' ELSE '21+' END AS bucket, count(*) AS n_rows FROM (SELECT substr(text, 1, CAST(doc_id % 30 + 1 AS INT)) AS text FROM documents) GROUP BY 1")
+def len_bucket_hist(spark, d):
+    rows = T.documents(spark, d).select(F.substring("text", F.lit(1), (F.col("doc_id") % 30 + 1).cast("int")).alias("text"))
+    return rows.groupBy(X.length_bucket(F.col("text")).alias("bucket")).agg(F.count("*").alias("n_rows"))
+
+
+@query(f"SELECT doc_id, regexp_replace(text, '{T.INVISIBLE}', '', 'g') = text AS no_marks, length(regexp_replace(text, '{T.SPACE_PUNCT}', '', 'g')) AS n_left, md5({T.norm_sql('text')}) AS norm_md5 FROM documents")
+def norm_steps(spark, d):
+    t = F.col("text")
+    return T.documents(spark, d).select("doc_id", (X.strip_invisible(t) == t).alias("no_marks"), F.length(X.strip_space_punct(t)).alias("n_left"), F.md5(X.norm(t)).alias("norm_md5"))
+
+
+# ------------------------------------------------------------------ spans and lists
+@query(f"WITH {T.SEEDS} SELECT source_id, s AS target_span_start, e AS target_span_end, span AS target_span_text, split FROM seeds")
+def span_extract(spark, d):
+    return T.seeds(spark, d).select("source_id", "target_span_start", "target_span_end", "target_span_text", "split")
+
+
+@query(f"WITH {T.SEEDS} SELECT source_id, md5(substr(text, 1, s) || '##' || substr(text, e + 1)) AS spliced, reverse(span) AS reversed, substr(span, 2, 1) || substr(span, 1, 1) || substr(span, 3) AS swapped, array_to_string(string_split(span, ''), '*') AS starred FROM seeds")
+def span_splice(spark, d):
+    span, t = F.col("target_span_text"), F.col("text")
+    return T.seeds(spark, d).select("source_id", F.md5(X.splice(t, F.col("target_span_start"), F.col("target_span_end"), F.lit("##"))).alias("spliced"), F.reverse(span).alias("reversed"), X.swap_adjacent(span).alias("swapped"), X.joined(span, "*").alias("starred"))
+
+
+@query("SELECT doc_id, list_filter(list_transform(string_split(source || '| ' || lang || ' ||x', '|'), lambda p: trim(p)), lambda p: p <> '') AS parts, len(list_filter(list_transform(string_split(source || '| ' || lang || ' ||x', '|'), lambda p: trim(p)), lambda p: p <> '')) AS n_parts FROM documents")
+def list_split(spark, d):
+    parts = X.split_list(F.concat("source", F.lit("| "), "lang", F.lit(" ||x")))
+    return T.documents(spark, d).select("doc_id", parts.alias("parts"), F.size(parts).cast("long").alias("n_parts"))
+
+
+@query("SELECT event_id, TRY_CAST(k AS INT) IS NOT NULL AS is_int, CASE WHEN trim(k) = '' THEN NULL ELSE coalesce(TRY_CAST(k AS DOUBLE) BETWEEN 0 AND 50, false) END AS in_range, CASE WHEN lower(k) IN ('1', 'toxic', 'true', 'yes') THEN 1 WHEN lower(k) IN ('0', 'non_toxic', 'nontoxic', 'false', 'no') THEN 0 END AS label FROM (SELECT event_id, ['1', '0', 'Toxic', 'nontoxic', 'YES', '', '77', '2.5'][CAST(event_id % 8 + 1 AS INT)] AS k FROM events)")
+def typed_text(spark, d):
+    k = F.get(F.array(*[F.lit(x) for x in ("1", "0", "Toxic", "nontoxic", "YES", "", "77", "2.5")]), (F.col("event_id") % 8).cast("int"))
+    rows = T.events(spark, d).select("event_id", k.alias("k"))
+    return rows.select("event_id", F.col("k").try_cast("int").isNotNull().alias("is_int"), X.in_range(F.col("k"), 0, 50).alias("in_range"), X.label(F.col("k"), wide=True).alias("label"))
+
+
+@query("SELECT event_type, json_extract_string(props, '$.' || json_keys(props)[1]) IS NOT NULL AS has_first, count(*) AS n_rows FROM events GROUP BY 1, 2")
+def json_props(spark, d):
+    keys = F.json_object_keys("props")
+    parsed = F.from_json("props", "map<string,string>")
+    return T.events(spark, d).select("event_type", F.try_element_at(parsed, F.get(keys, F.lit(0))).isNotNull().alias("has_first")).groupBy("event_type", "has_first").agg(F.count("*").alias("n_rows"))
+
+
+# ------------------------------------------------------------------ leakage
+@query("SELECT doc_id, 'exact' AS kind FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 50 = 7) AND doc_id % 50 <> 7")
+def leak_exact(spark, d):
+    docs = T.documents(spark, d)
+    h = leakage.hashed(docs.where("doc_id % 50 <> 7").select("doc_id", "text"))
+    return leakage.leaks(h, leakage.exclusion_hashes(docs.where("doc_id % 50 = 7").select("text"), trim=False)).where("kind = 'exact'").select("doc_id", "kind")
+
+
+@query(f"WITH b AS (SELECT DISTINCT sha256(n) AS h FROM (SELECT {T.norm_sql('line')} AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM benchmark)) WHERE length(n) >= 20), l AS (SELECT doc_id, line_no - 1 AS line_no, {T.norm_sql('line')} AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)) SELECT doc_id, line_no, sha256(n) AS line_hash FROM l WHERE length(n) >= 20 AND sha256(n) IN (SELECT h FROM b)")
+def leak_norm_lines(spark, d):
+    norm = X.norm(F.col("line"))
+    ours = leakage.lines(T.documents(spark, d), 20, norm)
+    theirs = leakage.lines(T.benchmark(spark, d), 20, norm, "item_id")
+    return leakage.leaks_in(ours, "line_hash", theirs, "line_hash")
+
+
+@query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def leak_contains(spark, d):
+    return leakage.containing(T.documents(spark, d).select("doc_id", "text"), T.benchmark(spark, d).select("item_id", "text"), "doc_id", "item_id")
+
+
+@query(f"SELECT doc_id FROM documents WHERE doc_id % 5 <> 0 AND {H} IN (SELECT {H} FROM documents WHERE doc_id % 5 = 0)")
+def leak_t1(spark, d):
+    h = _hashed(spark, d)
+    return leakage.leaks_in(h.where("doc_id % 5 <> 0"), "h", h.where("doc_id % 5 = 0").withColumnRenamed("h", "norm_sha256"), "norm_sha256").select("doc_id")
+
+
+@query(f"WITH t AS (SELECT * FROM documents WHERE doc_id % 20 = 3) SELECT doc_id, sha256(text) IN (SELECT sha256(text) FROM t) AS by_text_sha256, {H} IN (SELECT {H} FROM t) AS by_text_norm_sha256, text IN (SELECT text FROM t) AS by_text FROM documents WHERE doc_id % 20 <> 3 AND ({H} IN (SELECT {H} FROM t) OR text IN (SELECT text FROM t))")
+def leak_any(spark, d):
+    h = leakage.hashed(T.documents(spark, d).select("doc_id", "text"))
+    return leakage.leaks_any(h.where("doc_id % 20 <> 3"), h.where("doc_id % 20 = 3")).select("doc_id", "by_text_sha256", "by_text_norm_sha256", "by_text")
+
+
+@query("SELECT kind, count(DISTINCT h) AS n_hashes FROM (SELECT 'exact' AS kind, sha256(trim(text)) AS h FROM benchmark UNION ALL SELECT 'norm', " + T.sha_norm_sql("trim(text)") + " FROM benchmark) GROUP BY 1")
+def exclusion_scan(spark, d):
+    return leakage.exclusion_hashes(T.benchmark(spark, d)).groupBy("kind").agg(F.count_distinct("h").alias("n_hashes"))
+
+
+@query(f"WITH {T.VARIANTS} SELECT variant_id, source_id FROM variants WHERE source_id NOT IN (SELECT source_id FROM seeds)")
+def fk_missing(spark, d):
+    return leakage.missing_keys(T.variants(spark, d), T.seeds(spark, d), "source_id").select("variant_id", "source_id")
+
+
+@query("SELECT doc_id, source, n AS occurrence FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n > 1")
+def dup_ids(spark, d):
+    return leakage.repeats(T.documents(spark, d).select("doc_id", "source"), "source", "doc_id").select("doc_id", "source", "occurrence")
+
+
+@query(f"WITH {T.VARIANTS} SELECT source_id, string_agg(DISTINCT split, ',' ORDER BY split) AS splits, count(DISTINCT split) AS n_splits FROM variants GROUP BY 1 HAVING count(DISTINCT split) > 1")
+def split_purity(spark, d):
+    return leakage.mixed_splits(T.variants(spark, d), "source_id")
+
+
+@query("SELECT doc_id FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)")
+def key_intersect(spark, d):
+    return leakage.keys_in_both(T.documents(spark, d), T.labels(spark, d), "doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def key_difference(spark, d):
+    return leakage.keys_in_first(T.documents(spark, d), T.labels(spark, d), "doc_id")
+
+
+# ------------------------------------------------------------------ validation
+_V = "SELECT '{0}' AS rule_id, 'error' AS level, row_no, source_id AS key FROM {1} WHERE {2}"
+_OK = "TRY_CAST(st AS INT) IS NOT NULL AND TRY_CAST(en AS INT) IS NOT NULL"
+_IN = "TRY_CAST(st AS INT) >= 0 AND TRY_CAST(st AS INT) < TRY_CAST(en AS INT) AND TRY_CAST(en AS INT) <= length(text)"
+
+
+@query(f"WITH {T.FAULTY}, named AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY row_no) AS n FROM faulty WHERE source_id <> '') " + " UNION ALL ".join(_V.format(*x) for x in [("V02", "faulty", "source_id = ''"), ("V03", "named", "n > 1"), ("V04", "named", "split NOT IN ('train', 'dev', 'test')"), ("V05", "named", f"{_OK} AND NOT ({_IN})"), ("V06", "named", f"{_OK} AND {_IN} AND span <> '' AND span <> substr(text, TRY_CAST(st AS INT) + 1, TRY_CAST(en AS INT) - TRY_CAST(st AS INT))"), ("V07", "named", f"NOT ({_OK})")]))
+def violations_seeds(spark, d):
+    return validate.seed_violations(T.faulty_seeds(spark, d)).select("rule_id", "level", "row_no", "key")
+
+
+_VV = "SELECT '{0}' AS rule_id, 'error' AS level, row_no, variant_id AS key FROM named WHERE {1}"
+_FAM = "CASE attack_type WHEN 'Homo' THEN 'phonetic' WHEN 'Sym_Leet' THEN 'symbolic' WHEN 'Graph_Split' THEN 'graphic' END"
+_VRULES = [
+    ("V09", "variant_id = ''"), ("V10", "variant_id <> '' AND n > 1"), ("V11", "variant_id <> '' AND n = 1 AND NOT regexp_matches(variant_id, '^[rl]-')"),
+    ("V12", "variant_id <> '' AND n = 1 AND NOT contains(variant_id, '-' || source_id || '-')"), ("V13", "attack_type = 'Other'"), ("V14", f"attack_type <> 'Other' AND attack_family <> {_FAM}"),
+    ("V15", "is_adversarial NOT IN ('0', '1')"), ("V16", "generation_method NOT IN ('rule', 'llm', 'manual')"), ("V17", "quality_pass NOT IN ('pass', 'fail', 'pending')"), ("V18", "substitution_unit NOT IN ('char', 'word')"),
+    ("V19", "mapping_version = ''"), ("V21", "is_pilot = '1'"), ("V23", "mapping_source = 'placeholder'"), ("V24", "NOT coalesce(TRY_CAST(score AS DOUBLE) BETWEEN 0 AND 1, false)"), ("V26", "source_id NOT IN (SELECT source_id FROM seeds)"),
+]
+
+
+@query(f"WITH {T.VARIANTS}, named AS (SELECT *, row_number() OVER (PARTITION BY variant_id ORDER BY row_no) AS n FROM variants) " + " UNION ALL ".join(_VV.format(*x) for x in _VRULES) + " UNION ALL SELECT 'V27', 'error', NULL, source_id FROM variants GROUP BY source_id HAVING count(DISTINCT split) > 1")
+def violations_variants(spark, d):
+    return validate.variant_violations(T.variants(spark, d), T.seeds(spark, d)).select("rule_id", "level", "row_no", "key")
+
+
+@query(f"WITH {T.VARIANTS}, named AS (SELECT *, row_number() OVER (PARTITION BY variant_id ORDER BY row_no) AS n FROM variants), v AS (" + " UNION ALL ".join(_VV.format(*x) for x in _VRULES if x[0] not in ("V21", "V23")).replace("SELECT 'V19' AS rule_id, 'error'", "SELECT 'V19' AS rule_id, 'warn'") + " UNION ALL SELECT 'V27', 'error', NULL, source_id FROM variants GROUP BY source_id HAVING count(DISTINCT split) > 1) SELECT level, count(*) AS n FROM v GROUP BY 1")
+def violation_totals(spark, d):
+    return validate.totals(validate.variant_violations(T.variants(spark, d), T.seeds(spark, d), mode="pilot"))
+
+
+@query(f"WITH {T.SEEDS}, x AS (SELECT * FROM seeds WHERE doc_id % 4 = 1) SELECT CASE WHEN sha256(text) IN (SELECT sha256(trim(text)) FROM x) THEN 'V31' ELSE 'V32' END AS rule_id, source_id AS key FROM seeds WHERE sha256(text) IN (SELECT sha256(trim(text)) FROM x) OR {H} IN (SELECT {H} FROM x)")
+def violations_leakage(spark, d):
+    s = T.seeds(spark, d).withColumn("row_no", F.col("doc_id"))
+    return validate.exclusion_violations({"seeds": (s, "source_id")}, s.where("doc_id % 4 = 1").select("text")).select("rule_id", "key")
+
+
+@query(f"WITH {T.FAULTY}, named AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY row_no) AS n FROM faulty), x AS (SELECT * FROM named WHERE row_no % 6 = 1) " + " UNION ALL ".join(f"SELECT '{a}' AS rule_id, row_no FROM named WHERE {b}" for a, b in [("L01", f"{H} IN (SELECT {H} FROM x)"), ("L02", f"{H} IN (SELECT {H} FROM x)"), ("L03", "split NOT IN ('train', 'dev', 'test')"), ("L04", "n > 1"), ("L05", f"{_OK} AND NOT ({_IN})"), ("L05", f"{_OK} AND {_IN} AND span <> substr(text, TRY_CAST(st AS INT) + 1, TRY_CAST(en AS INT) - TRY_CAST(st AS INT))"), ("L05", f"NOT ({_OK})")]))
+def violations_leak_check(spark, d):
+    s = T.faulty_seeds(spark, d)
+    part = leakage.hashed(s.where("row_no % 6 = 1"))
+    return validate.leak_check(s, part.select(F.col("text_norm_sha256").alias("norm_sha256")), part).select("rule_id", "row_no")
+
+
+# ------------------------------------------------------------------ selection
+_STRATUM = "toxic_type || '|' || CASE WHEN len_chars <= 1000 THEN 'short' WHEN len_chars <= 3000 THEN 'mid' ELSE 'long' END"
+
+
+def _strata(spark, d) -> DataFrame:
+    n = F.col("len_chars")
+    p = T.pool(spark, d).withColumn("h", X.sha(X.norm(F.col("text")))).drop("text")
+    return select.strata(p, [F.col("toxic_type"), F.when(n <= 1000, "short").when(n <= 3000, "mid").otherwise("long")])
+
+
+@query(f"WITH {T.POOL} SELECT {_STRATUM} AS stratum, count(*) AS n_rows FROM pool GROUP BY 1")
+def strata_sizes(spark, d):
+    return select.strata_sizes(_strata(spark, d))
+
+
+_QUOTA = f"""{T.POOL}, st AS (SELECT *, {_STRATUM} AS stratum, {H} AS h FROM pool), c AS (SELECT stratum, count(*) AS n FROM st GROUP BY 1),
+ t AS (SELECT sum(n) AS total, least(200, sum(n)) AS target, count(*) AS k FROM c), raw AS (SELECT stratum, n, n * target % total AS rem, greatest(n * target // total, CASE WHEN target >= k THEN 1 ELSE 0 END) AS f, target FROM c, t),
+ rest AS (SELECT *, target - sum(f) OVER () AS left_, row_number() OVER (ORDER BY rem DESC, stratum) AS ord FROM raw), quota AS (SELECT stratum, CAST(f + CASE WHEN left_ >= ord THEN 1 ELSE 0 END AS BIGINT) AS quota FROM rest)"""
+
+
+@query(f"WITH {_QUOTA} SELECT stratum, quota FROM quota")
+def quota_alloc(spark, d):
+    sizes = {r["stratum"]: r["n_rows"] for r in select.strata_sizes(_strata(spark, d)).collect()}
+    return spark.createDataFrame(list(select.quotas(sizes, 200).items()), "stratum string, quota long")
+
+
+@query(f"WITH {_QUOTA}, p AS (SELECT st.*, row_number() OVER (PARTITION BY st.stratum ORDER BY len_chars, h, doc_id) <= quota AS inq FROM st JOIN quota USING (stratum)) SELECT doc_id, stratum, CAST(inq AS INT) AS in_quota, row_number() OVER (ORDER BY inq DESC, stratum, len_chars, h, doc_id) AS rank FROM p")
+def stratified_shortlist(spark, d):
+    rows = _strata(spark, d).withColumn("h", F.concat("h", F.lpad(F.col("doc_id").cast("string"), 12, "0")))
+    return select.shortlist(rows, 200, "h").select("doc_id", "stratum", "in_quota", "rank")
+
+
+@query(f"WITH x AS (SELECT doc_id, source, {H} AS h FROM documents), y AS (SELECT *, row_number() OVER (PARTITION BY source, h ORDER BY doc_id) AS n FROM x) SELECT doc_id, lower(substr(source, 1, 4)) || '-' || substr(h, 1, 10) || CASE WHEN n2 > 1 THEN '-' || n2 ELSE '' END AS source_id FROM (SELECT *, row_number() OVER (PARTITION BY lower(substr(source, 1, 4)), h ORDER BY doc_id) AS n2 FROM y)")
+def source_ids(spark, d):
+    return select.source_ids(_hashed(spark, d).select("doc_id", "source", "h"), X.dataset_code(F.col("source"), {"alpha": "al"}), "h", "doc_id").select("doc_id", "source_id")
+
+
+@query(f"WITH x AS (SELECT doc_id, 'd-' || substr({H}, 1, 10) AS p FROM documents) SELECT doc_id, CASE WHEN count(*) OVER (PARTITION BY p) > 1 THEN p || '-' || row_number() OVER (PARTITION BY p ORDER BY doc_id) ELSE p END AS source_id FROM x")
+def legacy_ids(spark, d):
+    return select.legacy_ids(_hashed(spark, d).select("doc_id", "h"), F.lit("d"), "h", "doc_id").select("doc_id", "source_id")
+
+
+@query("SELECT doc_id, CASE WHEN p < 135 THEN 'train' WHEN p < 165 THEN 'dev' ELSE 'test' END AS split FROM (SELECT doc_id, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) % 200 AS p FROM documents)")
+def split_cycle(spark, d):
+    return select.split_cycle(T.documents(spark, d), ["doc_id"], ["lang"]).select("doc_id", "split")
+
+
+_ENT = "regexp_extract_all(substr(text, 1, 40), '[a-z]+')"
+
+
+@query(f"SELECT coalesce(CASE WHEN len(e) = 0 THEN 'no_entity' WHEN len(list_filter(e, lambda x: contains(text, x))) = 0 THEN 'not_in_text' WHEN list_max(list_transform(list_filter(e, lambda x: contains(text, x)), lambda x: length(x))) > 6 THEN 'too_long' END, 'kept') AS reason, count(*) AS n_rows FROM (SELECT text, CASE doc_id % 5 WHEN 0 THEN [] WHEN 1 THEN ['~~'] ELSE {_ENT}[1:2] END AS e FROM documents) GROUP BY 1")
+def reject_reasons(spark, d):
+    i = F.col("doc_id") % 5
+    e = F.when(i == 0, F.array().cast("array<string>")).when(i == 1, F.array(F.lit("~~"))).otherwise(F.slice(F.regexp_extract_all(F.substring("text", 1, 40), F.lit("[a-z]+"), F.lit(0)), 1, 2))
+    rows = T.documents(spark, d).select("text", e.alias("e"))
+    return rows.groupBy(F.coalesce(select.reject_reason(F.col("text"), F.col("e")), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n_rows"))
+
+
+@query(f"WITH {T.SEEDS} SELECT source_id, list_sort(list_filter([CASE WHEN regexp_matches(span, '[a-z]') THEN 'Graph_Similar' END, CASE WHEN regexp_matches(span, '[a-z]') THEN 'Homo' END, CASE WHEN regexp_matches(span, '[a-z]') THEN 'PY_Full' END, CASE WHEN regexp_matches(span, '[a-z]') THEN 'Sym_Leet' END, CASE WHEN regexp_matches(span, '[a-z]') AND length(span) >= 2 THEN 'PY_Abbr' END, CASE WHEN regexp_matches(span, '[a-z]') AND regexp_matches(span, '[th]') THEN 'Graph_Split' END, CASE WHEN regexp_matches(span, '[a-z]') AND regexp_matches(span, '[q]') THEN 'Emoji_Sub' END, 'Sym_Separator'], lambda x: x IS NOT NULL)) AS types FROM seeds")
+def feasible_types(spark, d):
+    arr = lambda s: F.array(*[F.lit(c) for c in s])
+    return T.seeds(spark, d).select("source_id", select.feasible_types(F.col("target_span_text"), arr("th"), arr("q"), LETTER).alias("types"))
+
+
+@query()
+def greedy_cover(spark, d):
+    s = T.seeds(spark, d)
+    types = select.feasible_types(F.col("target_span_text"), F.array(F.lit("t"), F.lit("h")), F.array(F.lit("q")), LETTER)
+    rows = s.select(X.sha(F.col("text")).alias("hash"), F.col("target_span_text").alias("entity"), types.alias("types")).withColumn("score", select.score(F.col("types"), F.lit(False), F.col("entity")))
+    picked = select.greedy_cover(rows, 40)
+    return spark.createDataFrame([(r["hash"], r["entity"], r["score"]) for r in picked], "hash string, entity string, score int")
+
+
+# ------------------------------------------------------------------ maps
+_MAPROWS = "m AS (SELECT doc_id AS _row, substr(text, 1, 1) AS char, source || '|' || lang || '||' || ' z' AS replacements FROM documents WHERE text <> '')"
+
+
+def _map_rows(spark, d) -> DataFrame:
+    return T.documents(spark, d).where("text <> ''").select(F.col("doc_id").alias("_row"), F.substring("text", 1, 1).alias("char"), F.concat("source", F.lit("|"), "lang", F.lit("|| z")).alias("replacements"))
+
+
+@query(f"WITH {_MAPROWS} SELECT char, md5(string_agg(source_lang, '|' ORDER BY _row)) AS joined FROM (SELECT _row, char, array_to_string(list_filter(string_split(replacements, '|'), lambda x: x <> ''), '|') AS source_lang FROM m) GROUP BY 1")
+def map_multi(spark, d):
+    return tables.map_many(_map_rows(spark, d)).select("char", F.md5(F.array_join("replacements", "|")).alias("joined"))
+
+
+@query(f"WITH {_MAPROWS} SELECT char, arg_max(string_split(replacements, '|')[1], _row) AS replacement FROM m GROUP BY 1")
+def map_last_wins(spark, d):
+    return tables.map_one(_map_rows(spark, d))
+
+
+@query("SELECT k AS char, coalesce(f, p) AS replacement, f IS NOT NULL AS is_formal FROM (SELECT coalesce(a.k, b.k) AS k, a.v AS f, b.v AS p FROM (VALUES ('a', '4'), ('e', '3')) a(k, v) FULL JOIN (VALUES ('a', 'A'), ('o', '0')) b(k, v) ON a.k = b.k)")
+def map_merge(spark, d):
+    formal = {"a": ["4"], "e": ["3"]}
+    merged = perturb.merge_maps(formal, {"a": ["A"], "o": ["0"]})
+    return tables.literal(spark, merged).select("char", F.col("replacements")[0].alias("replacement"), F.col("char").isin(*formal).alias("is_formal"))
+
+
+# ------------------------------------------------------------------ perturbation
+def _maps() -> dict:
+    lit = tables.literal_map
+    return {"leet": lit(T.LEET), "homo": lit(T.HOMO), "pinyin": lit(T.SOUNDS), "split": lit(T.PARTS), "homo_word": lit(T.WORDS), "similar": lit(T.LEET), "emoji": lit({"o": ["⭕"]})}
+
+
+def _perturbed(spark, d, rule: str) -> DataFrame:
+    rows = perturb.candidates(T.seeds(spark, d), _maps(), [rule], random_pick=False)
+    return rows.select("source_id", "cand", "unit", F.md5("new_text").alias("text_md5"))
+
+
+_MD5 = "md5(substr(text, 1, s) || cand || substr(text, e + 1)) AS text_md5"
+
+
+def _chars(expr: str) -> str:
+    return f"array_to_string(list_transform(string_split(span, ''), lambda c: {expr}), '')"
+
+
+def _all_in(table: dict) -> str:
+    return f"len(list_filter(string_split(span, ''), lambda c: {T.case_sql(table, 'c')} IS NULL)) = 0"
+
+
+@query(f"WITH {T.SEEDS} SELECT source_id, cand, 'char' AS unit, {_MD5} FROM (SELECT *, trim(array_to_string(string_split(span, ''), sep)) AS cand FROM seeds, (VALUES ('*'), ('.'), (' '), ('—'), (chr(8203))) t(sep) WHERE length(span) >= 2)")
+def perturb_separator(spark, d):
+    return _perturbed(spark, d, "Sym_Separator")
+
+
+@query(f"WITH {T.SEEDS} SELECT DISTINCT source_id, cand, 'char' AS unit, {_MD5} FROM (SELECT *, {_chars(T.case_sql(T.LEET, 'c', 'c'))} AS cand FROM seeds UNION ALL SELECT *, {_chars(T.case_sql(T.LEET, 'c', 'c', 1))} FROM seeds) WHERE cand <> span")
+def perturb_leet_partial(spark, d):
+    return _perturbed(spark, d, "Sym_Leet")
+
+
+_WORDS = " UNION ALL ".join(f"SELECT '{k}' AS w, '{a}' AS alt" for k, v in T.WORDS.items() for a in v)
+
+
+@query(f"WITH {T.SEEDS}, w AS ({_WORDS}) SELECT source_id, cand, unit, {_MD5} FROM (SELECT seeds.*, alt AS cand, 'word' AS unit FROM seeds JOIN w ON span = w.w UNION ALL SELECT *, {_chars(T.case_sql(T.HOMO, 'c', 'NULL'))}, 'char' FROM seeds WHERE span NOT IN (SELECT w FROM w) AND {_all_in(T.HOMO)}) WHERE cand <> span")
+def perturb_strict(spark, d):
+    return _perturbed(spark, d, "Homo")
+
+
+@query(f"WITH {T.SEEDS} SELECT source_id, {_chars(T.case_sql(T.PARTS, 'c'))} AS cand, 'char' AS unit, md5(substr(text, 1, s) || {_chars(T.case_sql(T.PARTS, 'c'))} || substr(text, e + 1)) AS text_md5 FROM seeds WHERE {_all_in(T.PARTS)}")
+def perturb_split(spark, d):
+    return _perturbed(spark, d, "Graph_Split")
+
+
+@query(f"WITH {T.SEEDS} SELECT source_id, cand, 'word' AS unit, {_MD5} FROM (SELECT *, {_chars('substr(' + T.case_sql(T.SOUNDS, 'c') + ', 1, 1)')} AS cand FROM seeds WHERE {_all_in(T.SOUNDS)}) WHERE cand <> span")
+def perturb_abbr(spark, d):
+    return _perturbed(spark, d, "PY_Abbr")
+
+
+@query(f"WITH {T.SEEDS} SELECT source_id, cand, 'word' AS unit, {_MD5} FROM (SELECT *, array_to_string(list_transform(string_split(span, ''), lambda c: {T.case_sql(T.SOUNDS, 'c')}), sep) AS cand FROM seeds, (VALUES (''), (' ')) t(sep) WHERE {_all_in(T.SOUNDS)})")
+def perturb_full(spark, d):
+    return _perturbed(spark, d, "PY_Full")
+
+
+@query(f"WITH {T.SEEDS}, m AS (SELECT *, 0 AS k, 'adjacent' AS swap_mode, substr(span, 2, 1) || substr(span, 1, 1) || substr(span, 3) AS swapped_to FROM seeds UNION ALL SELECT *, 1, 'reverse', reverse(span) FROM seeds), u AS (SELECT *, row_number() OVER (PARTITION BY source_id, swapped_to ORDER BY k) AS n FROM m WHERE swapped_to <> span) SELECT source_id, 'r-' || source_id || '-Swap-' || lpad(CAST(row_number() OVER (PARTITION BY source_id ORDER BY k) AS VARCHAR), 2, '0') AS variant_id, swap_mode, span AS swapped_from, swapped_to, md5(substr(text, 1, s) || swapped_to || substr(text, e + 1)) AS text_md5, split FROM u WHERE n = 1")
+def perturb_swap(spark, d):
+    rows = perturb.swaps(T.seeds(spark, d), letters="[A-Za-z]")
+    return rows.select("source_id", "variant_id", "swap_mode", "swapped_from", "swapped_to", F.md5("new_text").alias("text_md5"), "split")
+
+
+_TWO = f"""{T.SEEDS}, leet AS (SELECT DISTINCT ON (source_id, cand) * FROM (SELECT *, 0 AS cand_no, {_chars(T.case_sql(T.LEET, 'c', 'c'))} AS cand FROM seeds UNION ALL SELECT *, 1, {_chars(T.case_sql(T.LEET, 'c', 'c', 1))} FROM seeds) WHERE cand <> span ORDER BY source_id, cand, cand_no),
+ cands AS (SELECT *, 0 AS rule_no, 'Sym_Leet' AS attack_type FROM leet UNION ALL SELECT *, i, trim(array_to_string(string_split(span, ''), sep)), 1, 'Sym_Separator' FROM seeds, (VALUES (0, '*'), (1, '.'), (2, ' '), (3, '—'), (4, chr(8203))) t(i, sep)),
+ t AS (SELECT *, substr(text, 1, s) || cand || substr(text, e + 1) AS new_text FROM cands), f AS (SELECT *, row_number() OVER (PARTITION BY new_text ORDER BY doc_id, rule_no, cand_no) AS first_ FROM t),
+ k AS (SELECT *, row_number() OVER (PARTITION BY source_id, attack_type ORDER BY cand_no) AS seq FROM f WHERE first_ = 1), v AS (SELECT * FROM k WHERE attack_type <> 'Sym_Separator' OR seq <= 1)"""
+
+
+@query()
+def perturb_all(spark, d):
+    """All rules with deduplication, caps and numbers; texts that repeat among seeds make it order-dependent, which tests cover."""
+    return perturb.generate(T.seeds(spark, d), _maps()).select("source_id", "variant_id", "cand", "unit", F.md5("new_text").alias("text_md5"))
+
+
+def _unique_seeds(spark, d) -> DataFrame:
+    s = T.seeds(spark, d)
+    return s.join(s.groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "doc_id", "left_semi")
+
+
+_TWO_UNIQUE = _TWO.replace("WHERE span <> '')", "WHERE span <> '' QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1)", 1)
+
+
+@query(f"WITH {_TWO_UNIQUE} SELECT source_id, 'r-' || source_id || '-' || attack_type || '-' || lpad(CAST(seq AS VARCHAR), 2, '0') AS variant_id, cand FROM v")
+def perturb_two_rules(spark, d):
+    return perturb.generate(_unique_seeds(spark, d), _maps(), ["Sym_Leet", "Sym_Separator"]).select("source_id", "variant_id", "cand")
+
+
+@query(f"WITH {_TWO_UNIQUE}, n AS (SELECT count(*) AS seeds_in FROM seeds) SELECT attack_type, seeds_in, count(*) AS variants_out, seeds_in - count(DISTINCT source_id) AS empty_seeds, round(count(DISTINCT source_id) / seeds_in, 6) AS coverage FROM v, n GROUP BY attack_type, seeds_in")
+def variant_stats(spark, d):
+    s, rules = _unique_seeds(spark, d), ["Sym_Leet", "Sym_Separator"]
+    return perturb.stats(s, perturb.generate(s, _maps(), rules), rules)
+
+
+@query(f"WITH {_TWO_UNIQUE} SELECT reason, count(*) AS n_rows FROM (SELECT CASE WHEN first_ > 1 THEN 'repeated' WHEN attack_type = 'Sym_Separator' AND row_number() OVER (PARTITION BY source_id, attack_type, first_ = 1 ORDER BY cand_no) > 1 THEN 'over_cap' ELSE 'kept' END AS reason FROM f) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def skip_reasons(spark, d):
+    rows = perturb.candidates(_unique_seeds(spark, d), _maps(), ["Sym_Leet", "Sym_Separator"])
+    first = F.row_number().over(Window.partitionBy("new_text").orderBy("_row", "rule_no", "cand_no"))
+    marked = rows.withColumn("first", first)
+    k = F.row_number().over(Window.partitionBy("source_id", "attack_type", F.col("first") == 1).orderBy("cand_no"))
+    reason = F.when(F.col("first") > 1, "repeated").when((F.col("attack_type") == "Sym_Separator") & (k > 1), "over_cap").otherwise("kept")
+    return marked.select(reason.alias("reason")).groupBy("reason").agg(F.count("*").alias("n_rows")).orderBy(F.desc("n_rows"), "reason").limit(10)
+
+
+# ------------------------------------------------------------------ building maps
+_CHARS = "chars AS (SELECT c AS char, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[a-z]')) AS c FROM documents) GROUP BY 1)"
+
+
+@query(f"WITH {_CHARS} SELECT char, n AS count FROM chars")
+def char_freq(spark, d):
+    return maps.char_frequency(T.documents(spark, d), LETTER)
+
+
+@query(f"WITH {_CHARS} SELECT char, n AS count, row_number() OVER (ORDER BY n DESC, char) AS rank FROM chars")
+def char_rank(spark, d):
+    return maps.char_rank(maps.char_frequency(T.documents(spark, d), LETTER))
+
+
+_GRAMS = "grams AS (SELECT substr(w, CAST(i AS INT), k) AS gram FROM (SELECT w, k, unnest(range(1, length(w) - k + 2)) AS i FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM benchmark), (VALUES (2), (3)) t(k) WHERE length(w) >= k))"
+
+
+@query(f"WITH {_GRAMS} SELECT gram, count(*) AS n FROM grams GROUP BY 1")
+def ngram_evidence(spark, d):
+    return maps.evidence(T.benchmark(spark, d), (2, 3), "[a-z]+")
+
+
+_SOUND = {"a": ("x", "x1"), "e": ("x", "x2"), "o": ("x", "x1"), "t": ("y", "y1"), "d": ("y", "y1"), "n": ("z", "z1"), "m": ("z", "z3")}
+_SOUND_SQL = "snd(ch, syl, tone) AS (VALUES " + ", ".join(f"('{c}', '{s}', '{t}')" for c, (s, t) in _SOUND.items()) + ")"
+_WORD_SQL = f"""{_CHARS}, {_GRAMS}, ev AS (SELECT gram, count(*) AS n FROM grams GROUP BY 1), {_SOUND_SQL}, words(word) AS (VALUES ('the'), ('an'), ('on')),
+ alts AS (SELECT a.ch AS c, b.ch AS alt, a.tone = b.tone AS same, f.n, row_number() OVER (PARTITION BY a.ch ORDER BY f.n DESC, b.ch) AS k FROM snd a JOIN snd b ON a.syl = b.syl AND a.ch <> b.ch JOIN chars f ON f.char = b.ch AND f.n >= 2),
+ opts AS (SELECT c, alt, same, 1 AS ch, n FROM alts WHERE k <= 4 UNION ALL SELECT char, char, true, 0, n FROM chars),
+ combos AS (SELECT word, o1.alt || o2.alt || coalesce(o3.alt, '') AS candidate, o1.same AND o2.same AND coalesce(o3.same, true) AS same_tone, o1.ch + o2.ch + coalesce(o3.ch, 0) AS n_changed, least(o1.n, o2.n, o3.n) AS min_char_freq
+   FROM words JOIN opts o1 ON o1.c = substr(word, 1, 1) JOIN opts o2 ON o2.c = substr(word, 2, 1) LEFT JOIN opts o3 ON o3.c = substr(word, 3, 1)),
+ graded AS (SELECT combos.*, coalesce(ev.n, 0) AS attested, CASE WHEN same_tone AND coalesce(ev.n, 0) >= 1 THEN 'A_same_tone_attested' WHEN same_tone THEN 'B_same_tone' WHEN coalesce(ev.n, 0) >= 1 THEN 'C_diff_tone_attested' ELSE 'D_diff_tone' END AS confidence FROM combos LEFT JOIN ev ON gram = candidate WHERE n_changed > 0),
+ cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY confidence, n_changed, attested DESC, min_char_freq DESC, candidate) AS place FROM graded) WHERE place <= 8)"""
+
+
+def _word_candidates(spark, d) -> DataFrame:
+    sounds = spark.createDataFrame([(c, s, t) for c, (s, t) in _SOUND.items()], "char string, syllable string, tone_syllable string")
+    words = spark.createDataFrame([("the",), ("an",), ("on",)], "word string")
+    return maps.word_candidates(words, sounds, maps.char_frequency(T.documents(spark, d), LETTER), maps.evidence(T.benchmark(spark, d), (2, 3), "[a-z]+"))
+
+
+@query(f"WITH {_WORD_SQL} SELECT word, candidate, same_tone, n_changed, min_char_freq, attested, confidence, place FROM cand")
+def word_candidates_topk(spark, d):
+    return _word_candidates(spark, d)
+
+
+_TIER = "CASE WHEN confidence = 'D_diff_tone' THEN 'reject_weak' WHEN confidence = 'B_same_tone' THEN 'review' WHEN min_char_freq < 100000 THEN 'reject_rare' ELSE 'accept' END"
+
+
+@query(f"WITH {_WORD_SQL} SELECT {_TIER} AS tier, count(*) AS n_rows FROM cand GROUP BY 1")
+def curate_tiers(spark, d):
+    return _word_candidates(spark, d).groupBy(maps.tier(100_000).alias("tier")).agg(F.count("*").alias("n_rows"))
+
+
+@query(f"WITH {_WORD_SQL} SELECT word, candidate, attested FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY attested DESC, candidate) AS p FROM cand WHERE {_TIER.replace('100000', '10')} = 'accept') WHERE p <= 2")
+def curated_topk(spark, d):
+    return maps.curate(_word_candidates(spark, d)).select("word", "candidate", "attested")
+
+
+@query(f"WITH {_WORD_SQL} SELECT CASE {_TIER} WHEN 'review' THEN 'B_is_it_a_word' ELSE 'AC_called_rare' END AS reason, word, candidate FROM cand WHERE {_TIER} IN ('review', 'reject_rare')")
+def review_union(spark, d):
+    return maps.review(_word_candidates(spark, d), 100_000).select("reason", "word", "candidate")
+
+
+_SPLITROWS = "c AS (SELECT doc_id, substr(text, 2, 1) AS char, substr(text, 3, CAST(doc_id % 5 AS INT)) AS replacements FROM documents)"
+
+
+@query(f"WITH {_CHARS}, r AS (SELECT *, row_number() OVER (ORDER BY n DESC, char) AS rank FROM chars), {_SPLITROWS}, x AS (SELECT *, trim(char) AS ch, trim(replacements) AS rep FROM c) SELECT doc_id, CASE WHEN NOT regexp_full_match(ch, '[a-z]') THEN 'char_not_basic' WHEN rep = '' OR rep = ch THEN 'no_parts' WHEN length(rep) NOT IN (2, 3) THEN 'not_2_or_3_parts' WHEN NOT regexp_full_match(rep, '[a-z]+') THEN 'part_not_basic' WHEN contains(rep, ch) THEN 'part_is_char' WHEN coalesce((SELECT n FROM r WHERE r.char = ch), 0) < 20000 THEN 'char_rare' WHEN len(list_filter(string_split(rep, ''), lambda p: NOT list_contains((SELECT list(char) FROM r WHERE rank <= 12), p))) > 0 THEN 'part_rare' END AS reason FROM x")
+def split_filter(spark, d):
+    docs = T.documents(spark, d)
+    cands = docs.select("doc_id", F.substring("text", 2, 1).alias("char"), F.substring("text", F.lit(3), (F.col("doc_id") % 5).cast("int")).alias("replacements"))
+    ranks = maps.char_rank(maps.char_frequency(docs, LETTER))
+    return maps.split_reasons(cands, ranks, 20_000, 12, LETTER).select("doc_id", "reason")
+
+
+@query("SELECT lang AS char, replace(replace(lang, 'e', '3'), 's', '5') AS replacement FROM documents WHERE replace(replace(lang, 'e', '3'), 's', '5') <> lang GROUP BY 1, 2")
+def lookalike_map(spark, d):
+    return maps.lookalikes(T.documents(spark, d).select("lang").distinct(), {"e": "3", "s": "5"}, "lang").select("char", F.col("replacements")[0].alias("replacement"))
+
+
+@query("SELECT lang, len(list_filter(string_split(lang, ''), lambda c: c NOT IN ('e', 'n', 's', 'd'))) = 0 AS every_char FROM (SELECT DISTINCT lang FROM documents) WHERE len(list_filter(string_split(lang, ''), lambda c: c IN ('e', 'n', 's', 'd'))) > 0")
+def char_quantifiers(spark, d):
+    langs, chars = T.documents(spark, d).select("lang").distinct(), ["e", "n", "s", "d"]
+    every = maps.fully_mapped(langs, chars, "lang").withColumn("every_char", F.lit(True))
+    return maps.fully_mapped(langs, chars, "lang", every=False).join(every, "lang", "left").select("lang", F.coalesce("every_char", F.lit(False)).alias("every_char"))
+
+
+_HOMOPHONES = [("ma1", "ma1"), ("ma1", "ma3"), ("lan2", "lang2"), ("nan2", "lan2"), ("zi4", "zhi4"), ("fei1", "hei1"), ("ren2", "dou4"), ("quan2", "quan2"), ("xue", "xie2")]
+
+
+@query("SELECT * FROM (VALUES ('ma1', 'ma1', 'perfect'), ('ma1', 'ma3', 'near'), ('lan2', 'lang2', 'near'), ('nan2', 'lan2', 'near'), ('zi4', 'zhi4', 'far'), ('fei1', 'hei1', 'near'), ('ren2', 'dou4', 'far'), ('quan2', 'quan2', 'perfect'), ('xue', 'xie2', 'near')) t(a, b, kind)")
+def homophone_kinds(spark, d):
+    rows = spark.createDataFrame(_HOMOPHONES, "a string, b string")
+    return rows.select("a", "b", phonetics.alike(F.lit("甲"), F.col("a"), F.lit("乙"), F.col("b")).alias("kind"))
+
+
+# ------------------------------------------------------------------ annotation
+@query(f"WITH {T.RATERS}, t AS (SELECT count(*) AS n, count(*) FILTER (l1 = l2) AS same, sum(l1) AS a, sum(l2) AS b FROM pairs) SELECT n, same / n AS po, (a * b + (n - a) * (n - b)) / (n * n) AS pe, (same / n - (a * b + (n - a) * (n - b)) / (n * n)) / (1 - (a * b + (n - a) * (n - b)) / (n * n)) AS kappa FROM t")
+def kappa_label(spark, d):
+    out = annotate.kappa(annotate.paired(*T.raters(spark, d)))
+    return out
+
+
+@query(f"WITH {T.RATERS} SELECT count(*) FILTER (s1 IS NOT NULL AND s2 IS NOT NULL) AS n_both, count(*) FILTER (s1 = s2 AND e1 = e2) AS n_exact, count(*) FILTER (iou >= 0.5) AS n_overlap, avg(iou) FILTER (s1 <> s2) AS mean_iou, count(*) FILTER ((s1 IS NULL) <> (s2 IS NULL)) AS n_only_one FROM q")
+def span_agreement(spark, d):
+    return annotate.span_agreement(annotate.paired(*T.raters(spark, d)))
+
+
+@query(f"WITH {T.RATERS} SELECT source_id, l1 AS label_a1, l2 AS label_a2, coalesce('[' || s1 || ',' || e1 || ')', '') AS span_a1, coalesce(CASE WHEN e1 <= length(text) THEN substr(text, s1 + 1, 4) END, '') AS span_text_a1, coalesce('[' || s2 || ',' || e2 || ')', '') AS span_a2, coalesce(CASE WHEN e2 <= length(text) THEN substr(text, s2 + 1, 4) END, '') AS span_text_a2, iou FROM q WHERE l1 IS DISTINCT FROM l2 OR s1 IS DISTINCT FROM s2 OR e1 IS DISTINCT FROM e2")
+def adjudication(spark, d):
+    return annotate.adjudication(annotate.paired(*T.raters(spark, d))).drop("text")
+
+
+@query(f"WITH {T.FAULTY}, f AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY row_no) AS n FROM faulty) " + " UNION ALL ".join(f"SELECT '{a}' AS rule_id, row_no FROM f WHERE {b}" for a, b in [("C01", "source_id = '' OR n > 1"), ("C07", f"NOT ({_OK})"), ("C08", f"{_OK} AND NOT ({_IN})"), ("C09", f"{_OK} AND {_IN} AND span <> substr(text, TRY_CAST(st AS INT) + 1, TRY_CAST(en AS INT) - TRY_CAST(st AS INT))")]))
+def annotation_check(spark, d):
+    return annotate.check(T.faulty_seeds(spark, d)).select("rule_id", "row_no")
+
+
+@query("SELECT source_id, annotator FROM (SELECT 's' || doc_id AS source_id FROM documents WHERE doc_id % 3 = 0 ORDER BY doc_id LIMIT 25), (VALUES ('a1'), ('a2')) t(annotator)")
+def annotation_sheets(spark, d):
+    rows = T.documents(spark, d).select(F.concat(F.lit("s"), "doc_id").alias("source_id"), "text", (F.col("doc_id") % 3 == 0).cast("int").alias("in_quota"), F.col("doc_id").alias("rank"))
+    return annotate.sheets(rows, ["a1", "a2"], "g1", top=25, seed=7).select("source_id", "annotator")
+
+
+# ------------------------------------------------------------------ manifests and effort
+@query(f"WITH {T.VARIANTS} SELECT count(*) AS n_rows, count(*) FILTER (split = 'train') AS split_train, count(*) FILTER (split = 'dev') AS split_dev, count(*) FILTER (split = 'test') AS split_test, 0 AS split_other, count(*) FILTER (quality_pass = 'pass') AS qc_pass, count(*) FILTER (quality_pass = 'fail') AS qc_fail, count(*) FILTER (quality_pass NOT IN ('pass', 'fail')) AS qc_pending FROM variants")
+def manifest_summary(spark, d):
+    return manifest.summary(T.variants(spark, d)).drop("label_0", "label_1", "label_missing")
+
+
+@query(f"WITH {T.VARIANTS} SELECT attack_type, count(*) FILTER (quality_pass = 'pass') AS pass, count(*) FILTER (quality_pass = 'fail') AS fail, count(*) FILTER (quality_pass = 'pending') AS pending FROM variants GROUP BY 1")
+def crosstab_type_qc(spark, d):
+    return manifest.crosstab(T.variants(spark, d), "attack_type", "quality_pass", validate.QUALITY)
+
+
+@query(f"WITH {T.VARIANTS} SELECT string_agg(attack_type || '=' || n, ';' ORDER BY attack_type) AS pairs FROM (SELECT attack_type, count(*) AS n FROM variants GROUP BY 1)")
+def attack_kv(spark, d):
+    return manifest.pairs_text(T.variants(spark, d), "attack_type")
+
+
+@query(f"WITH {T.VARIANTS} SELECT 'M03' AS rule_id, attack_type || '=' || count(*) AS detail FROM variants GROUP BY attack_type HAVING count(*) < 50")
+def manifest_problems(spark, d):
+    return manifest.problems(T.variants(spark, d), "variants").where("rule_id = 'M03'")
+
+
+def _log(spark, d) -> DataFrame:
+    return T.events(spark, d).select(F.col("value").alias("minutes"), F.col("event_type").alias("attack_type"), (F.col("event_id") % 5 + 1).alias("difficulty"))
+
+
+@query("SELECT count(*) AS n_rows, round(sum(value), 4) AS total_minutes, round(avg(value), 6) AS mean_minutes, round(median(value), 6) AS median_minutes, min(value) AS min_minutes, max(value) AS max_minutes, round(avg(event_id % 5 + 1), 6) AS mean_difficulty, round(avg(value) * 800 / 60, 4) AS hours_800, round(avg(value) * 1000 / 60, 4) AS hours_1000 FROM events")
+def pilot_stats(spark, d):
+    out = manifest.effort(_log(spark, d))
+    digits = {"total_minutes": 4, "hours_800": 4, "hours_1000": 4, "mean_minutes": 6, "median_minutes": 6, "mean_difficulty": 6}
+    return out.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
+@query("SELECT event_type AS attack_type, count(*) AS n_rows, round(avg(value), 6) AS mean_minutes FROM events GROUP BY 1")
+def pilot_by_type(spark, d):
+    return manifest.effort_by(_log(spark, d), "attack_type").withColumn("mean_minutes", F.round("mean_minutes", 6))
+
+
+@query("SELECT k AS attack_type FROM (VALUES ('view'), ('purchase'), ('nothing')) t(k) WHERE k NOT IN (SELECT event_type FROM events)")
+def pilot_missing_types(spark, d):
+    return manifest.missing_kinds(_log(spark, d), "attack_type", ["view", "purchase", "nothing"])
+
+
+@query("SELECT 'cv-' || substr(sha256(string_agg(source || chr(9) || h, chr(10) ORDER BY source)), 1, 12) AS version, count(*) AS n_files FROM (SELECT source, sha256(CAST(count(*) AS VARCHAR)) AS h FROM documents GROUP BY 1)")
+def content_version(spark, d):
+    by = T.documents(spark, d).groupBy("source").agg(F.sha2(F.count("*").cast("string"), 256).alias("h"))
+    return manifest.content_version(by, "source", "h")
