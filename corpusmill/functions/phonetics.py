@@ -57,5 +57,5 @@ def worst(kinds: Column) -> Column:
 def words_alike(chars_a: Column, syllables_a: Column, chars_b: Column, syllables_b: Column, mode: str = "compat") -> Column:
     """Of two words as arrays; words of different lengths are far."""
     pairs = F.arrays_zip(chars_a.alias("a"), syllables_a.alias("x"), chars_b.alias("b"), syllables_b.alias("y"))
-    kinds = F.transform(pairs, lambda p: alike(p["0"], p["1"], p["2"], p["3"], mode))
+    kinds = F.transform(pairs, lambda p: alike(p["a"], p["x"], p["b"], p["y"], mode))
     return F.when(F.size(chars_a) == F.size(chars_b), worst(kinds)).otherwise("far")

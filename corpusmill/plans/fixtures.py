@@ -137,4 +137,4 @@ VARIANTS = SEEDS + """, variants AS (SELECT doc_id, text, CASE WHEN doc_id % 19
 RATERS = """pairs AS (SELECT 's' || doc_id AS source_id, d.text, l.toxic AS l1, CASE WHEN doc_id % 11 = 0 THEN 1 - l.toxic ELSE l.toxic END AS l2,
   CASE WHEN doc_id % 5 <> 0 THEN doc_id % 20 END AS s1, CASE WHEN doc_id % 5 <> 0 THEN doc_id % 20 + 4 END AS e1,
   CASE WHEN doc_id % 7 <> 0 THEN doc_id % 20 + doc_id % 3 END AS s2, CASE WHEN doc_id % 7 <> 0 THEN doc_id % 20 + doc_id % 3 + 4 END AS e2 FROM documents d JOIN labels l USING (doc_id)),
- r AS (SELECT *, greatest(0, least(e1, e2) - greatest(s1, s2)) AS shared FROM pairs), q AS (SELECT *, shared / (8 - shared) AS iou FROM r)"""
+ r AS (SELECT *, CASE WHEN s1 IS NOT NULL AND s2 IS NOT NULL THEN greatest(0, least(e1, e2) - greatest(s1, s2)) END AS shared FROM pairs), q AS (SELECT *, shared / (8 - shared) AS iou FROM r)"""

@@ -79,7 +79,7 @@ def list_split(spark, d):
     return T.documents(spark, d).select("doc_id", parts.alias("parts"), F.size(parts).cast("long").alias("n_parts"))
 
 
-@query("SELECT event_id, TRY_CAST(k AS INT) IS NOT NULL AS is_int, CASE WHEN trim(k) = '' THEN NULL ELSE coalesce(TRY_CAST(k AS DOUBLE) BETWEEN 0 AND 50, false) END AS in_range, CASE WHEN lower(k) IN ('1', 'toxic', 'true', 'yes') THEN 1 WHEN lower(k) IN ('0', 'non_toxic', 'nontoxic', 'false', 'no') THEN 0 END AS label FROM (SELECT event_id, ['1', '0', 'Toxic', 'nontoxic', 'YES', '', '77', '2.5'][CAST(event_id % 8 + 1 AS INT)] AS k FROM events)")
+@query("SELECT event_id, regexp_full_match(k, '[+-]?[0-9]+') AS is_int, CASE WHEN trim(k) = '' THEN NULL ELSE coalesce(TRY_CAST(k AS DOUBLE) BETWEEN 0 AND 50, false) END AS in_range, CASE WHEN lower(k) IN ('1', 'toxic', 'true', 'yes') THEN 1 WHEN lower(k) IN ('0', 'non_toxic', 'nontoxic', 'false', 'no') THEN 0 END AS label FROM (SELECT event_id, ['1', '0', 'Toxic', 'nontoxic', 'YES', '', '77', '2.5'][CAST(event_id % 8 + 1 AS INT)] AS k FROM events)")
 def typed_text(spark, d):
     k = F.get(F.array(*[F.lit(x) for x in ("1", "0", "Toxic", "nontoxic", "YES", "", "77", "2.5")]), (F.col("event_id") % 8).cast("int"))
     rows = T.events(spark, d).select("event_id", k.alias("k"))
@@ -320,7 +320,7 @@ def _all_in(table: dict) -> str:
     return f"len(list_filter(string_split(span, ''), lambda c: {T.case_sql(table, 'c')} IS NULL)) = 0"
 
 
-@query(f"WITH {T.SEEDS} SELECT source_id, cand, 'char' AS unit, {_MD5} FROM (SELECT *, trim(array_to_string(string_split(span, ''), sep)) AS cand FROM seeds, (VALUES ('*'), ('.'), (' '), ('—'), (chr(8203))) t(sep) WHERE length(span) >= 2)")
+@query(f"WITH {T.SEEDS} SELECT source_id, cand, 'char' AS unit, {_MD5} FROM (SELECT *, trim(replace(array_to_string(string_split(span, ''), '*'), '*', sep)) AS cand FROM seeds, (VALUES ('*'), ('.'), (' '), ('—'), (chr(8203))) t(sep) WHERE length(span) >= 2)")
 def perturb_separator(spark, d):
     return _perturbed(spark, d, "Sym_Separator")
 
@@ -348,7 +348,7 @@ def perturb_abbr(spark, d):
     return _perturbed(spark, d, "PY_Abbr")
 
 
-@query(f"WITH {T.SEEDS} SELECT source_id, cand, 'word' AS unit, {_MD5} FROM (SELECT *, array_to_string(list_transform(string_split(span, ''), lambda c: {T.case_sql(T.SOUNDS, 'c')}), sep) AS cand FROM seeds, (VALUES (''), (' ')) t(sep) WHERE {_all_in(T.SOUNDS)})")
+@query(f"WITH {T.SEEDS} SELECT source_id, cand, 'word' AS unit, {_MD5} FROM (SELECT *, replace(array_to_string(list_transform(string_split(span, ''), lambda c: {T.case_sql(T.SOUNDS, 'c')}), '*'), '*', sep) AS cand FROM seeds, (VALUES (''), (' ')) t(sep) WHERE {_all_in(T.SOUNDS)})")
 def perturb_full(spark, d):
     return _perturbed(spark, d, "PY_Full")
 
@@ -360,7 +360,7 @@ def perturb_swap(spark, d):
 
 
 _TWO = f"""{T.SEEDS}, leet AS (SELECT DISTINCT ON (source_id, cand) * FROM (SELECT *, 0 AS cand_no, {_chars(T.case_sql(T.LEET, 'c', 'c'))} AS cand FROM seeds UNION ALL SELECT *, 1, {_chars(T.case_sql(T.LEET, 'c', 'c', 1))} FROM seeds) WHERE cand <> span ORDER BY source_id, cand, cand_no),
- cands AS (SELECT *, 0 AS rule_no, 'Sym_Leet' AS attack_type FROM leet UNION ALL SELECT *, i, trim(array_to_string(string_split(span, ''), sep)), 1, 'Sym_Separator' FROM seeds, (VALUES (0, '*'), (1, '.'), (2, ' '), (3, '—'), (4, chr(8203))) t(i, sep)),
+ cands AS (SELECT *, 0 AS rule_no, 'Sym_Leet' AS attack_type FROM leet UNION ALL SELECT seeds.*, i, trim(replace(array_to_string(string_split(span, ''), '*'), '*', sep)), 1, 'Sym_Separator' FROM seeds, (VALUES (0, '*'), (1, '.'), (2, ' '), (3, '—'), (4, chr(8203))) t(i, sep)),
  t AS (SELECT *, substr(text, 1, s) || cand || substr(text, e + 1) AS new_text FROM cands), f AS (SELECT *, row_number() OVER (PARTITION BY new_text ORDER BY doc_id, rule_no, cand_no) AS first_ FROM t),
  k AS (SELECT *, row_number() OVER (PARTITION BY source_id, attack_type ORDER BY cand_no) AS seq FROM f WHERE first_ = 1), v AS (SELECT * FROM k WHERE attack_type <> 'Sym_Separator' OR seq <= 1)"""
 
@@ -465,7 +465,7 @@ def review_union(spark, d):
 _SPLITROWS = "c AS (SELECT doc_id, substr(text, 2, 1) AS char, substr(text, 3, CAST(doc_id % 5 AS INT)) AS replacements FROM documents)"
 
 
-@query(f"WITH {_CHARS}, r AS (SELECT *, row_number() OVER (ORDER BY n DESC, char) AS rank FROM chars), {_SPLITROWS}, x AS (SELECT *, trim(char) AS ch, trim(replacements) AS rep FROM c) SELECT doc_id, CASE WHEN NOT regexp_full_match(ch, '[a-z]') THEN 'char_not_basic' WHEN rep = '' OR rep = ch THEN 'no_parts' WHEN length(rep) NOT IN (2, 3) THEN 'not_2_or_3_parts' WHEN NOT regexp_full_match(rep, '[a-z]+') THEN 'part_not_basic' WHEN contains(rep, ch) THEN 'part_is_char' WHEN coalesce((SELECT n FROM r WHERE r.char = ch), 0) < 20000 THEN 'char_rare' WHEN len(list_filter(string_split(rep, ''), lambda p: NOT list_contains((SELECT list(char) FROM r WHERE rank <= 12), p))) > 0 THEN 'part_rare' END AS reason FROM x")
+@query(f"WITH {_CHARS}, r AS (SELECT *, row_number() OVER (ORDER BY n DESC, char) AS rank FROM chars), {_SPLITROWS}, x AS (SELECT *, trim(char) AS ch, trim(replacements) AS rep FROM c) SELECT doc_id, CASE WHEN NOT regexp_full_match(ch, '[a-z]') THEN 'char_not_basic' WHEN rep = '' OR rep = ch THEN 'no_parts' WHEN length(rep) NOT IN (2, 3) THEN 'not_2_or_3_parts' WHEN NOT regexp_full_match(rep, '[a-z]+') THEN 'part_not_basic' WHEN contains(rep, ch) THEN 'part_is_char' WHEN coalesce((SELECT n FROM r WHERE r.char = ch), 0) < 20000 THEN 'char_rare' WHEN len(list_filter(string_split(rep, ''), lambda p: NOT list_contains(l, p))) > 0 THEN 'part_rare' END AS reason FROM x, (SELECT list(char) AS l FROM r WHERE rank <= 12)")
 def split_filter(spark, d):
     docs = T.documents(spark, d)
     cands = docs.select("doc_id", F.substring("text", 2, 1).alias("char"), F.substring("text", F.lit(3), (F.col("doc_id") % 5).cast("int")).alias("replacements"))
