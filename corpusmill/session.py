@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,8 +66,10 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what a first collection frees is cleaned up in the background, and frees more
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
