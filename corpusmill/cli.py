@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
-from corpusmill.operators import annotate, leakage, manifest, select, validate
+from corpusmill.operators import annotate, leakage, manifest, maps, perturb, select, validate
 from corpusmill.sources import tables
 
 
@@ -19,6 +19,109 @@ def _table(spark: SparkSession, path: str | None):
     return tables.with_row(tables.read_any(spark, path), "row_no")
 
 
+def _seeds(spark: SparkSession, path: str):
+    df = _table(spark, path)
+    tables.require(df, ("source_id", "text", "target_span_start", "target_span_end", "toxicity_label", "split"))
+    return df.withColumnRenamed("row_no", "_row").withColumns({c: F.col(c).try_cast("int") for c in ("target_span_start", "target_span_end")}).where("target_span_start is not null and target_span_end is not null")
+
+
+def _generate(spark: SparkSession, args) -> int:
+    """--maps: a folder of NAME.csv tables of char and replacements."""
+    found, versions = {}, []
+    for name in sorted({t for ts in perturb.TABLES.values() for t in ts}):
+        path = f"{args.maps}/{name}.csv"
+        if tables.path_exists(spark, path):
+            rows = tables.map_many(tables.with_row(tables.read_csv(spark, path)), trim=True).collect()  # a mapping table, by its nature small
+            found[name] = tables.literal_map({r["char"]: r["replacements"] for r in rows})
+            versions.append((name, perturb.config_version("m", {r["char"]: r["replacements"] for r in rows})))
+    rules = args.rules.split(",") if args.rules else list(perturb.RULES)
+    caps = perturb.CAPS | perturb.parse_caps(args.caps or "")
+    seeds = _seeds(spark, args.seeds)
+    made = perturb.generate(seeds, found, rules, caps)
+    version = perturb.content_version("rm", versions)
+    batch = perturb.config_version("gb", {"version": version, "rules": rules, "caps": caps})
+    out = perturb.stamp(made, perturb.mapping_sources(found, []), version, batch, False)
+    tables.write_csv(out, args.out, out.columns, bom=True)
+    if args.stats:
+        counted = perturb.stats(seeds, tables.read_csv(spark, args.out), rules)
+        tables.write_csv(counted, args.stats, counted.columns, one_file=True, bom=True)
+    return 0
+
+
+def _curate(spark: SparkSession, args) -> int:
+    rows = tables.read_csv(spark, args.candidates).withColumns({c: F.col(c).try_cast("long") for c in ("attested", "min_char_freq")})
+    tables.write_map(maps.by_word(maps.curate(rows)), args.out)
+    if args.review:
+        sheet = maps.review(rows)
+        tables.write_csv(sheet.orderBy("reason", "word", "candidate"), args.review, [*sheet.columns, "accept", "note"], one_file=True, bom=True)
+    return 0
+
+
+def _import_split(spark: SparkSession, args) -> int:
+    rows = tables.with_row(tables.read_csv(spark, args.candidates))
+    freq = tables.read_csv_or_empty(spark, args.freq, ("char", "count"))
+    reasons = maps.split_reasons(rows, maps.char_rank(tables.frequencies(freq)))
+    print(tables.to_markdown(maps.examples(reasons, "_row").orderBy("reason"), "Left out"))
+    kept = tables.last_rows(reasons.where("reason is null"), "char", "_row")
+    tables.write_map(kept.select("char", F.array("replacements").alias("replacements")), args.out)
+    return 0
+
+
+def _sheet(spark: SparkSession, args) -> int:
+    rows = tables.read_csv(spark, args.shortlist).withColumn("rank", F.col("rank").try_cast("long"))
+    names = args.annotators.split(",")
+    out = annotate.sheets(rows, names, args.version or "", args.top, args.seed)
+    for name in names:
+        tables.write_csv(out.where(F.col("annotator") == name), f"{args.out}/{name}", annotate.SHEET, one_file=True, bom=True)
+    return 0
+
+
+def _check(spark: SparkSession, args) -> int:
+    found = annotate.check(_table(spark, args.sheet), _table(spark, args.shortlist))
+    print(tables.to_markdown(found.groupBy("rule_id", "level").agg(F.count("*").alias("n_rows")).orderBy("rule_id")))
+    return validate.gate(found)
+
+
+def _code_manifest(spark: SparkSession, args) -> int:
+    out = manifest.code_manifest(spark, args.folder, {}, "*.{py,txt,md,csv}")
+    tables.write_csv(out.orderBy("name"), args.out, out.columns, one_file=True, bom=True)
+    return 0
+
+
+def _pilot_add(spark: SparkSession, args) -> int:
+    entries = _table(spark, args.entries)
+    found = manifest.pilot_checks(entries, tables.read_csv(spark, args.seeds))
+    print(tables.to_markdown(found.select("rule_id", "level", "key")))
+    if validate.gate(found):
+        return 1
+    manifest.pilot_add(entries, args.log)
+    return 0
+
+
+def _pilot_report(spark: SparkSession, args) -> int:
+    print(manifest.pilot_report(spark.read.parquet(args.log)))
+    return 0
+
+
+def _swap(spark: SparkSession, args) -> int:
+    print(tables.to_markdown(perturb.swap_run(_seeds(spark, args.seeds), args.out, args.enable, args.mode)))
+    return 0
+
+
+MORE = {
+    "generate": _generate,
+    "swap": _swap,
+    "sheet": _sheet,
+    "check": _check,
+    "curate": _curate,
+    "import-split": _import_split,
+    "code-manifest": _code_manifest,
+    "pilot-init": lambda spark, args: 0 if manifest.pilot_init(spark, args.log, args.force) else 1,
+    "pilot-add": _pilot_add,
+    "pilot-report": _pilot_report,
+}
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="corpusmill")
     sub = parser.add_subparsers(dest="command", required=True)
@@ -29,12 +132,30 @@ def main(argv: list[str] | None = None) -> int:
         "stratify": ("--pool", "--out"),
         "agreement": ("--a", "--b", "--out"),
         "manifest": ("--input", "--role"),
+        "generate": ("--seeds", "--maps", "--out", "--stats", "--caps", "--rules"),
+        "swap": ("--seeds", "--out"),
+        "sheet": ("--shortlist", "--annotators", "--version", "--out"),
+        "check": ("--sheet", "--shortlist"),
+        "curate": ("--candidates", "--out", "--review"),
+        "import-split": ("--candidates", "--freq", "--out"),
+        "code-manifest": ("--folder", "--out"),
+        "pilot-init": ("--log",),
+        "pilot-add": ("--log", "--entries", "--seeds"),
+        "pilot-report": ("--log",),
     }.items():
         p = sub.add_parser(name)
         for flag in flags:
             p.add_argument(flag)
         if name == "validate":
             p.add_argument("--mode", choices=("formal", "pilot"), default="formal")
+        if name == "swap":
+            p.add_argument("--enable", action="store_true")
+            p.add_argument("--mode", choices=("adjacent", "reverse", "both"), default="both")
+        if name == "sheet":
+            p.add_argument("--top", type=int, default=0)
+            p.add_argument("--seed", type=int, default=0)
+        if name == "pilot-init":
+            p.add_argument("--force", action="store_true")
         if name == "stratify":
             p.add_argument("--target", type=int, default=200)
             p.add_argument("--max-len", type=int, default=20)
@@ -70,6 +191,8 @@ def main(argv: list[str] | None = None) -> int:
         print(tables.to_markdown(label, "Labels") + tables.to_markdown(span, "Spans"))
         tables.write_csv(adjudication, args.out, [*adjudication.columns, "verdict", "adjudicator"], one_file=True, bom=True)
         return 0
+    if args.command in MORE:
+        return MORE[args.command](spark, args)
     found = manifest.problems(tables.read_any(spark, args.input), args.role or "variants", is_csv=args.input.endswith(".csv"))
     print(tables.to_markdown(found, "Problems"))
     return 0 if found.isEmpty() else 1

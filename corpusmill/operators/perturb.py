@@ -28,6 +28,19 @@ TABLES = {"Homo": ("homo_word", "homo"), "PY_Full": ("pinyin",), "PY_Abbr": ("pi
 CAPS = {"Sym_Separator": 1}
 
 
+def parse_caps(text: str) -> dict[str, int]:
+    """type=N,type=N; parts without = are skipped, an unknown type or a bad number is an error."""
+    out = {}
+    for part in text.split(","):
+        kind, eq, n = part.partition("=")
+        if not eq:
+            continue
+        if kind.strip() not in RULES:
+            raise ValueError(f"no such rule: {kind.strip()}")
+        out[kind.strip()] = int(n)
+    return out
+
+
 def _struct(cand: Column, unit: str) -> Column:
     return F.struct(cand.alias("cand"), F.lit(unit).alias("unit"))
 
