@@ -44,7 +44,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fixity drill: every page is archived twice, one bit is flipped in one of 97 records of the second replica."""
+    """A fixity drill: every page is archived, the archive is copied, and one bit is flipped in one of 97 records of the copy."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     found = warc.fixity(pages, scratch_path(spark, "warc"), damage=warc.drill())
     return found.select("page_id", "file", "offset", "length", "sha256", "corrupt")

@@ -58,7 +58,7 @@ def _name(folder: str, number: int) -> str:
     return f"{folder}/part-of-archive-{number:06d}.warc.gz"
 
 
-def _write(batches: Iterator[pa.RecordBatch], folder: str, damage: Callable[[int | None, bytes], bytes] | None) -> Iterator[pa.RecordBatch]:
+def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     """Batches come sorted by file and key; a file is never in two partitions."""
 
     def rows():
@@ -72,8 +72,6 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, damage: Callable[[int
         with replacing(_name(folder, number)) as f:
             while row is not None and row[0] == number:
                 raw = gzip.compress(record(*row[1:]), LEVEL, mtime=0)
-                if damage:
-                    raw = damage(row[1], raw)
                 f.write(raw)
                 out.append((number, len(out), row[1], at, len(raw)))
                 at += len(raw)
@@ -81,16 +79,39 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, damage: Callable[[int
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.int64()] * 4), strict=True)], ["file", "idx", "key", "offset", "length"])
 
 
-def write_archive(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", body: str = "html", records: int = RECORDS, damage: Callable[[int | None, bytes], bytes] | None = None) -> DataFrame:
+def write_archive(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", body: str = "html", records: int = RECORDS) -> DataFrame:
     """Write the archive and return its offsets: file, idx, key, offset, length of every record.
 
     Rows that repeat a key are records of their own, next to one another in order of their contents.
-    ``damage`` changes the bytes of chosen records as they are written, for drills and tests.
     """
     n = max(1, math.ceil(pages.count() / records))
     rows = pages.select(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("file"), F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.col(body).alias("body"))
     dealt = rows.repartitionById(n, F.col("file")).sortWithinPartitions("file", "key", F.xxhash64("url", "body"), "url", "body")
-    return materialize(dealt.mapInArrow(lambda b: _write(b, folder, damage), "file int, idx long, key long, offset long, length long"), "warc-offsets")
+    return materialize(dealt.mapInArrow(lambda b: _write(b, folder), "file int, idx long, key long, offset long, length long"), "warc-offsets")
+
+
+def replicate(offsets: DataFrame, source: str, target: str, damage: Callable[[int | None, bytes], bytes] | None = None) -> int:
+    """Copy an archive file by file, record by record; returns the number of files.
+
+    ``damage`` changes the bytes of chosen records, and must keep their lengths, for drills and tests.
+    """
+    n = (offsets.agg(F.max("file")).first()[0] or 0) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        row, done = next(rows, None), []
+        while row is not None:
+            number = row[0]
+            with reading(_name(source, number)) as old, replacing(_name(target, number)) as new:
+                while row is not None and row[0] == number:
+                    raw = old.read_at(row[3], row[2])
+                    new.write(damage(row[1], raw) if damage else raw)
+                    row = next(rows, None)
+            done.append(number)
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.int32())], ["file"])
+
+    dealt = offsets.select("file", "key", "offset", "length").repartitionById(n, F.col("file")).sortWithinPartitions("file", "offset")
+    return dealt.mapInArrow(run, "file int").count()
 
 
 def read_records(offsets: DataFrame, folder: str) -> DataFrame:
@@ -165,13 +186,13 @@ def audit(ours: DataFrame, theirs: DataFrame, fanout: int = FANOUT) -> DataFrame
 
 
 def fixity(pages: DataFrame, folder: str, records: int = RECORDS, damage: Callable[[int | None, bytes], bytes] | None = None) -> DataFrame:
-    """Archive a table of pages twice and audit one replica against the other.
+    """Archive a table of pages, copy the archive, and audit one replica against the other.
 
     One row per record: page_id, file, offset, length, sha256 (of the record's bytes in the first
     replica) and corrupt. ``damage`` is done to the second replica. Empty input gives an empty result.
     """
     offsets = write_archive(pages, f"{folder}/a", records=records)
-    write_archive(pages, f"{folder}/b", records=records, damage=damage)
+    replicate(offsets, f"{folder}/a", f"{folder}/b", damage)
     ours = materialize(read_records(offsets, f"{folder}/a"), "warc-manifest")
     theirs = materialize(read_records(offsets, f"{folder}/b"), "warc-manifest")
     bad = audit(ours, theirs).withColumn("corrupt", F.lit(True))
