@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, components, exact_dedup, line_dedup, packing, perfect_hash, quality, sharding, simhash, token_counts, token_files, warc
+from corpusmill.llm import bpe, components, exact_dedup, line_dedup, near_text, packing, perfect_hash, quality, sharding, simhash, token_counts, token_files, warc
 from corpusmill.llm.library_tokens import ChunkEncoder
 from corpusmill.llm.queries import tokenizer_file
 from corpusmill.session import scratch_path
@@ -374,3 +374,60 @@ def test_pipeline(spark, sf, tmp_path):
     first = spark.read.parquet(str(tmp_path / "0"))
     lost = labels.where("quality = 1").join(rows, "doc_id", "left_semi").join(first, "doc_id", "left_anti").count()
     assert lost <= 0.1 * labels.where("quality = 1").count()
+
+
+def shingle_set(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))) if words else frozenset()
+
+
+def brute_near(rows):
+    """doc_id to the least id of its group, by all pairs."""
+    sets, root = {i: shingle_set(t) for i, t in rows}, {i: i for i, _ in rows}
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                x, y = sorted((root[a], root[b]))
+                root = {k: x if v == y else v for k, v in root.items()}
+    return root
+
+
+def near_copies(rng):
+    """Texts with copies on both sides of 0.8, chains of them, other line breaks and a large group."""
+    word = lambda: f"w{rng.randrange(4000)}"
+    texts = ["", None, " ", "one two", "One  two", "one two three", "a b c d e", "a b c d e f"]
+    for k in range(30):
+        words = [word() for _ in range(rng.randrange(30, 200))]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            for _ in range(rng.randrange(k % 6 + 1)):
+                words[rng.randrange(len(words))] = word()
+            texts.append("".join(w + rng.choice(["\n", " ", "  "]) for w in words))
+    tail = [f"t{i}" for i in range(100)]
+    for m in range(16, 36):  # overlaps step over the threshold
+        texts += [" ".join([*tail[:m], f"x{m}"]), " ".join([f"h{m}", *tail])]
+    base = [word() for _ in range(80)]
+    for _ in range(60):
+        copy = list(base)
+        copy[rng.randrange(80)] = word()
+        texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    return texts
+
+
+def test_near_text(spark):
+    texts = near_copies(random.Random(5))
+    df = docs(spark, texts)
+    want = brute_near(list(enumerate(texts)))
+    assert {r.doc_id: r.component_id for r in near_text.near_duplicates(df).collect()} == want
+    assert 0 < sum(k != v for k, v in want.items()) < len(want)
+    assert {r.doc_id for r in near_text.keep_one(df).collect()} == {k for k, v in want.items() if k == v}
+    assert near_text.keep_one(df).columns == df.columns and near_text.keep_one(empty(spark)).count() == 0
+
+
+def test_pipeline_near_dedup(spark, sf):
+    import corpus_pipeline
+
+    texts = near_copies(random.Random(6))
+    want = brute_near(list(enumerate(texts)))
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(spark, texts), sf).collect()} == {k for k, v in want.items() if k == v}
