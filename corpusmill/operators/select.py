@@ -147,17 +147,39 @@ def score(types: Column, has_emoji: Column, entity: Column) -> Column:
 def greedy_cover(df: DataFrame, want: int, per_entity: int = 3, per_type: int = 100) -> list[dict]:
     """Picks that serve the scarcest kind first, then score and hash, the greatest first.
 
-    df: hash, entity, score, types. Only the best rows of each (types, entity) can ever be picked, so the
-    driver gets per_entity of them at most, plus rows whose hash others share.
+    df: hash, entity, score, types. Rows that are equal in all of these are one. The driver holds the best rows
+    of each set of types, ``4 * want + 16`` at a time; where all of them are picked or closed (their hash
+    taken, their entity full), the next ones of that set that are still open are read from the table.
     """
-    w = Window.partitionBy(F.array_join("types", ","), "entity").orderBy(F.desc("score"), F.desc("hash"))
-    shared = F.count("*").over(Window.partitionBy("hash")) > 1
-    few = df.withColumn("_s", shared).withColumn("_k", F.row_number().over(w)).where(F.col("_s") | (F.col("_k") <= per_entity * 2))
-    by_kind = Window.partitionBy(F.array_join("types", ",")).orderBy(F.desc("score"), F.desc("hash"))
-    pool = [r.asDict() for r in few.withColumn("_m", F.row_number().over(by_kind)).where(F.col("_m") <= 4 * want + 16).select("hash", "entity", "score", "types").collect()]
+    block = 4 * want + 16
+    kind = F.array_join("types", "\x1f")
+    rows = df.select("hash", "entity", "score", "types").distinct().withColumn("_kind", kind)
+    best_first = Window.partitionBy("_kind").orderBy(F.desc("score"), F.desc("hash"), "entity")
     picked, hashes, kinds, entities = [], set(), {}, {}
+    open_row = lambda r: r["hash"] not in hashes and entities.get(r["entity"], 0) < per_entity
+
+    def among(name: str, values: set) -> Column:
+        return F.coalesce(F.col(name).isin([v for v in values if v is not None]), F.lit(None in values))
+
+    def read(left: DataFrame) -> dict[str, list[dict]]:
+        pool: dict[str, list[dict]] = {}
+        for r in left.withColumn("_m", F.row_number().over(best_first)).where(F.col("_m") <= block).orderBy("_kind", "_m").collect():
+            pool.setdefault(r["_kind"], []).append({k: r[k] for k in ("hash", "entity", "score", "types")})
+        return pool
+
+    pool = read(rows)
+    whole = {k for k, rs in pool.items() if len(rs) < block}
     while len(picked) < want:
-        open_ = [r for r in pool if r["hash"] not in hashes and entities.get(r["entity"], 0) < per_entity]
+        for k in pool:
+            pool[k] = [r for r in pool[k] if open_row(r)]
+        if dry := [k for k in pool if not pool[k] and k not in whole]:
+            shut = among("hash", hashes) | among("entity", {e for e, n in entities.items() if n >= per_entity})
+            more = read(rows.where(F.col("_kind").isin(dry) & ~shut))
+            for k in dry:
+                pool[k] = more.get(k, [])
+                if len(pool[k]) < block:
+                    whole.add(k)
+        open_ = [r for rs in pool.values() for r in rs]
         if not open_:
             break
         best = max(open_, key=lambda r: (max((per_type - kinds.get(t, 0) for t in r["types"]), default=0), r["score"], r["hash"]))

@@ -126,6 +126,34 @@ def test_greedy_cover(spark):
     assert max(sum(r["entity"] == e for r in picked) for e in ("e0", "e1", "e2", "e3")) <= 3
 
 
+def plain_greedy(rows, want, per_entity=3, per_type=100):
+    picked, hashes, kinds, entities = [], set(), {}, {}
+    while len(picked) < want:
+        open_ = [r for r in rows if r[0] not in hashes and entities.get(r[1], 0) < per_entity]
+        if not open_:
+            break
+        best = max(open_, key=lambda r: (max(per_type - kinds.get(t, 0) for t in r[3]), r[2], r[0]))
+        picked.append(best[0])
+        hashes.add(best[0])
+        entities[best[1]] = entities.get(best[1], 0) + 1
+        for t in best[3]:
+            kinds[t] = kinds.get(t, 0) + 1
+    return picked
+
+
+@pytest.mark.parametrize("case", ["copies", "one hash", "one entity"])
+def test_greedy_cover_refills(spark, case):
+    """Hundreds of rows of which few can be picked rank above all others of their kind."""
+    group = {
+        "copies": [("z", "top", 9, ["A"])] * 500,
+        "one hash": [("z", f"t{i}", 9, ["A"]) for i in range(500)],
+        "one entity": [(f"z{i:03}", "top", 9, ["A"]) for i in range(500)] * 2,
+    }[case]
+    rows = [*group, *[(f"h{i:03}", f"e{i % 20}", i % 5, ["A"]) for i in range(40)], *[(f"g{i:03}", f"f{i % 20}", i % 5, ["A", "B"]) for i in range(12)]]
+    df = spark.createDataFrame(rows, "hash string, entity string, score int, types array<string>")
+    assert [r["hash"] for r in select.greedy_cover(df, 40)] == plain_greedy(rows, 40)
+
+
 # ------------------------------------------------------------------ validation
 SEED = ("s1", "你好坏蛋", "2", "4", "坏蛋", "1", "toy", "train", 1)
 SEEDS = "source_id string, text string, target_span_start string, target_span_end string, target_span_text string, toxicity_label string, source_dataset string, split string, row_no long"
