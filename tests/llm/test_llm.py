@@ -431,3 +431,90 @@ def test_pipeline_near_dedup(spark, sf):
     texts = near_copies(random.Random(6))
     want = brute_near(list(enumerate(texts)))
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(spark, texts), sf).collect()} == {k for k, v in want.items() if k == v}
+
+
+def plain_features(text):
+    text = text or ""
+    words, lines = text.encode().split(), [x for x in text.split("\n") if x.encode().split()]
+    n, chars, symbols, again, repeats = brute_stats(text)
+    return {
+        "words": n,
+        "mean_word_chars": chars / max(n, 1),
+        "symbols_per_word": symbols / max(n, 1),
+        "upper_per_char": sum("A" <= c <= "Z" for c in text) / max(chars, 1),
+        "bangs_per_word": text.count("!") / max(n, 1),
+        "dup_line_share": again / max(len(lines), 1),
+        "repeat_share": repeats / max(len(words), 1),
+    }
+
+
+def plain_quality(rows, rules):
+    def good(text):
+        f = plain_features(text)
+        met = lambda c: f[c.feature] > c.threshold if c.above else f[c.feature] <= c.threshold
+        return f["words"] >= 20 and f["repeat_share"] <= 0.3 and not any(all(map(met, r)) for r in rules.rules)
+
+    return [(i, t) for i, t in rows if good(t)]
+
+
+def plain_lines(rows):
+    gone = {at for at, x in brute_lines(rows).items() if x[3]}
+    return [(i, t and "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)) for i, t in rows]
+
+
+def plain_near(rows):
+    root = brute_near(rows)
+    return [(i, t) for i, t in rows if root[i] == i]
+
+
+def assert_packed(pieces, rows):
+    """Every document's tokens lie in the sequences once and in order; all sequences but the last are full."""
+    library, whole, ends = tokenizers.Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json")), defaultdict(list), defaultdict(int)
+    for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset)):
+        whole[r.doc_id].append(r)
+        assert r.offset == ends[r.sequence_id]
+        ends[r.sequence_id] += r.length
+    assert sorted(ends) == list(range(len(ends))) and all(n == 1024 or k == len(ends) - 1 for k, n in ends.items())
+    assert set(whole) == {i for i, _ in rows}
+    for i, t in rows:
+        ids, at = [*library.encode(t or "", add_special_tokens=False).ids, 0], 0
+        for r in sorted(whole[i], key=lambda r: r.start):
+            assert r.start == at and r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
+
+
+def test_pipeline_plain(spark, tmp_path):
+    """Every stage and the whole run against plain Python, with near copies on both sides of 0.8 at other line breaks."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    fresh = lambda n, mark=0.0: [f"w{rng.randrange(9000)}" + "***" * (rng.random() < mark) for _ in range(n)]
+    wrap = lambda words, width: "\n".join(" ".join(words[i : i + width]) for i in range(0, len(words), width))
+    texts, labels, close = [None, "", "too short"], [], {}
+    for i in range(120):
+        labels.append((len(texts), int(i % 3 > 0), 0))
+        texts.append(wrap(fresh(rng.randrange(25, 60), 0.0 if i % 3 else 0.6), 15))
+    for changed in (0, 1, 2, 3, 4):  # of 100 words: Jaccard 1, 0.90, 0.81, 0.73, 0.66
+        for _ in range(3):
+            words = fresh(100)
+            close[len(texts) + 1] = changed
+            texts.append(wrap(words, 10))
+            for k in range(changed):
+                words[10 + 20 * k] = f"new{len(texts)}x{k}"
+            texts.append(wrap(words, 14))
+    texts += [texts[-1], texts[-2] + "\nand a line of its own"]
+    sf = str(tmp_path / "sf")
+    docs(spark, texts).withColumn("n_chars", F.length("text")).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    now, rows = spark.read.parquet(f"{sf}/documents.parquet"), list(enumerate(texts))
+    rules = quality.learn_from(now, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert rules.rules
+    for k, ((_, stage), plain) in enumerate(zip(corpus_pipeline.STAGES, [lambda x: plain_quality(x, rules), plain_lines, plain_near], strict=False)):
+        stage(spark, now, sf).write.parquet(str(tmp_path / str(k)))
+        now, before, rows = spark.read.parquet(str(tmp_path / str(k))), rows, plain(rows)
+        assert sorted((r.doc_id, r.text) for r in now.collect()) == rows and rows != before
+    left = {i for i, _ in rows}
+    assert {i: i in left for i in close} == {i: changed > 2 for i, changed in close.items()}
+    assert_packed(corpus_pipeline.pack(spark, now, sf).collect(), rows)
+    assert_packed(corpus_pipeline.run(spark, sf).collect(), rows)
