@@ -130,7 +130,7 @@ def missing_kinds(log: DataFrame, kind: str, kinds: Iterable[str]) -> DataFrame:
 
 
 def pilot_report(log: DataFrame, kinds: Iterable[str] = tuple(FAMILY)) -> str:
-    """The effort log as Markdown, from small aggregates."""
+    """The effort log as Markdown, from small aggregates and every row with a blocker, under their number."""
     rows = log.where(~X.blank(F.col("date"))).withColumn("minutes", F.col("minutes_spent").try_cast("double")).withColumn("difficulty", F.col("difficulty_1to5").try_cast("int"))
-    notes = rows.where(~X.blank(F.col("blocker"))).select("seed_id", "attack_type", "blocker").orderBy("seed_id").limit(50)
-    return "\n".join([tables.to_markdown(effort(rows), "Effort"), tables.to_markdown(effort_by(rows, "attack_type").orderBy("attack_type"), "By kind"), tables.to_markdown(missing_kinds(rows, "attack_type", kinds).orderBy("attack_type"), "Kinds not tried"), tables.to_markdown(notes, "Blockers")])
+    notes = rows.where(~X.blank(F.col("blocker"))).select("seed_id", "attack_type", "blocker").orderBy("seed_id", "attack_type", "blocker")
+    return "\n".join([tables.to_markdown(effort(rows), "Effort"), tables.to_markdown(effort_by(rows, "attack_type").orderBy("attack_type"), "By kind"), tables.to_markdown(missing_kinds(rows, "attack_type", kinds).orderBy("attack_type"), "Kinds not tried"), tables.to_markdown(notes, f"Blockers ({notes.count()})")])

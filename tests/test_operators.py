@@ -274,6 +274,13 @@ def test_pilot(spark, tmp_path):
     assert "Homo" in manifest.pilot_report(spark.read.parquet(path))
 
 
+def test_pilot_report_lists_all_blockers(spark):
+    rows = [("d", f"s{i:03}", "Homo", "3", "2", f"why {i}!" if i % 3 else " ") for i in range(180)]
+    log = spark.createDataFrame(rows, "date string, seed_id string, attack_type string, minutes_spent string, difficulty_1to5 string, blocker string")
+    report = manifest.pilot_report(log)
+    assert "# Blockers (120)" in report and all((f"| why {i}! |" in report) == (i % 3 > 0) for i in range(180))
+
+
 def test_split_reasons(spark):
     df = spark.createDataFrame([("明", "日月"), ("a", "bc"), ("强", ""), ("林", "木木木木"), ("好", "女x"), ("回", "回口"), ("冷", "冫令"), ("张", "弓丨")], "char string, replacements string")
     ranks = spark.createDataFrame([("明", 99, 1), ("日", 50, 2), ("月", 40, 3), ("张", 30, 4), ("弓", 5, 3124), ("丨", 1, 3251)], "char string, count long, rank int")
