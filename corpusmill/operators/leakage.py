@@ -72,18 +72,22 @@ def lines(df: DataFrame, least: int, norm: Column, id_col: str = "doc_id") -> Da
 def containing(df: DataFrame, parts: DataFrame, id_col: str, part_id: str, words: int = 5) -> DataFrame:
     """(id, part id) where a document's text contains a part's text.
 
-    The first ``words`` words of a part are looked up among the documents' own runs of words, as an
-    equi-join, and only rows that share one are compared in full. Parts with fewer words aren't looked for.
+    Words 2 to ``words`` + 1 of a part are looked up among the documents' own runs of words, as an equi-join,
+    and only rows that share one are compared in full. Parts with no more words than that are looked for
+    in every text.
     """
     run = lambda text: F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    heads = parts.select(F.col(part_id), F.col("text").alias("_part"), run(F.col("text")).alias("_w")).where(F.size("_w") > words + 1)
+    cut = parts.select(F.col(part_id), F.col("text").alias("_part"), run(F.col("text")).alias("_w"))
+    short = cut.where(F.size("_w") <= words + 1).select(part_id, "_part")
+    heads = cut.where(F.size("_w") > words + 1)
     # inner words are whole in the document, too; the first and last may be part of longer ones
     heads = heads.select(part_id, "_part", F.xxhash64(F.slice("_w", 2, words)).alias("_h"))
     docs = df.select(id_col, "text", run(F.col("text")).alias("_w")).where(F.size("_w") > words)
     runs = docs.select(id_col, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - words + 1), lambda i: F.xxhash64(F.slice("_w", i, words))))).alias("_h"))
     near = runs.join(broadcast_if_small(heads.select("_h", part_id), LIST_BROADCAST), "_h").select(id_col, part_id).distinct()
     full = near.join(df.select(id_col, "text"), id_col).join(heads.select(part_id, "_part"), part_id)
-    return full.where(F.instr(F.col("text"), F.col("_part")) > 0).select(id_col, part_id)
+    whole = df.select(id_col, "text").join(broadcast_if_small(short, LIST_BROADCAST), F.expr("instr(text, _part) > 0"))
+    return full.where(F.instr(F.col("text"), F.col("_part")) > 0).select(id_col, part_id).unionByName(whole.select(id_col, part_id).distinct())
 
 
 def families(df: DataFrame, hash_col: str, id_col: str) -> DataFrame:

@@ -264,6 +264,15 @@ def test_summary_and_crosstab(spark):
     assert {r.rule_id for r in manifest.problems(df, "seeds").collect()} == {"M05", "M06"}
 
 
+def test_containing_short_parts(spark):
+    texts = ["one two three four five six seven eight", "xone two three", "", None, "six  seven", "a one two three four five six b", "é"]
+    parts = ["two", "one two three", "ne two", "two three four five six", "one two three four five six", "two three four five six seven", "one two three four five six seven", "six seven", "six  seven", "", None, "é", "nine"]
+    df, listed = (spark.createDataFrame(list(enumerate(x)), f"{k} long, text string") for x, k in ((texts, "doc_id"), (parts, "item_id")))
+    want = {(i, k) for i, t in enumerate(texts) for k, p in enumerate(parts) if t is not None and p is not None and p in t}
+    got = [tuple(r) for r in leakage.containing(df, listed, "doc_id", "item_id").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_pilot(spark, tmp_path):
     path = str(tmp_path / "log")
     assert manifest.pilot_init(spark, path) and not manifest.pilot_init(spark, path)
