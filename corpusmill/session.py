@@ -12,7 +12,7 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,14 +33,13 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "corpu
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; one of our own only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared checkpoint folder; one of our own only where none is set and all runs on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        held = spark.sparkContext.getCheckpointDir()
-        if held is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusmill-"))
-            held = spark.sparkContext.getCheckpointDir()
-        base = held
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusmill-"))
+        base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
 
 
@@ -49,19 +48,47 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/corpusmill/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
+def materialize(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, which cuts its lineage. options: the Parquet writer's."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files behind a materialized table."""
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete the files behind materialized tables; nothing may read them any more."""
+    for df in tables:
+        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(parent)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def quoted(name: str) -> str:
+    """A column's name, dots and all, as one identifier."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_rows(df: DataFrame) -> Column:
+    """A struct of all columns of ``df``, so that none clashes with columns that stand beside it."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns])
+
+
+def columns_of(row: str, names: list[str]) -> list[Column]:
+    """The columns back out of such a struct."""
+    return [F.col(f"{row}.{quoted(c)}").alias(c) for c in names]
+
+
+def numbered_rows(df: DataFrame, id_col: str, name: str) -> tuple[DataFrame, bool]:
+    """rid (long, not null, no two alike) and row of every row, and whether rid is the id, as it is where ids tell rows apart.
+
+    Otherwise the rows are written out once beside their numbers, so that a number stays with its row.
+    """
+    at = F.col(quoted(id_col))
+    found = df.agg(F.count("*"), F.count_distinct(at)).first()
+    if found[0] == found[1]:
+        return df.select(at.cast("long").alias("rid"), whole_rows(df).alias("row")), True
+    return materialize(df.select(F.monotonically_increasing_id().alias("rid"), whole_rows(df).alias("row")), name), False
 
 
 def release(spark: SparkSession) -> None:
@@ -69,7 +96,7 @@ def release(spark: SparkSession) -> None:
     for _ in range(2):  # what a first collection frees is cleaned up in the background, and frees more
         gc.collect()
         spark._jvm.System.gc()
-        time.sleep(0.7)
+        time.sleep(0.2)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
@@ -79,3 +106,23 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     Beyond the bound the plain frame comes back and the join shuffles.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+#: Groups of more rows than this are joined by broadcast, the largest BIG_GROUPS of them.
+BIG_GROUP = 1_000
+BIG_GROUPS = 10_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """rows joined to the one row of ``groups`` that each has by ``key``, when a few groups may hold most rows.
+
+    groups should be materialized; ``size`` is its column with a group's number of rows. The largest groups, BIG_GROUPS
+    at most, meet their rows by broadcast where these lie; only rows of the others are shuffled.
+    """
+    big = groups.where(F.col(size) > BIG_GROUP).orderBy(F.desc(size), key).limit(BIG_GROUPS)
+    if big.isEmpty():
+        return rows.join(groups, key)
+    big = materialize(big, "big-groups")
+    keys = F.broadcast(big.select(key))  # both are bounded by BIG_GROUPS
+    usual = rows.join(keys, key, "left_anti").join(groups.join(keys, key, "left_anti"), key)
+    return rows.join(F.broadcast(big), key).unionByName(usual)
