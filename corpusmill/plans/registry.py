@@ -222,8 +222,7 @@ _QUOTA = f"""{T.POOL}, st AS (SELECT *, {_STRATUM} AS stratum, {H} AS h FROM poo
 
 @query(f"WITH {_QUOTA} SELECT stratum, quota FROM quota")
 def quota_alloc(spark, d):
-    sizes = {r["stratum"]: r["n_rows"] for r in select.strata_sizes(_strata(spark, d)).collect()}
-    return spark.createDataFrame(list(select.quotas(sizes, 200).items()), "stratum string, quota long")
+    return select.quotas(select.strata_sizes(_strata(spark, d)), 200)
 
 
 @query(f"WITH {_QUOTA}, p AS (SELECT st.*, row_number() OVER (PARTITION BY st.stratum ORDER BY len_chars, h, doc_id) <= quota AS inq FROM st JOIN quota USING (stratum)) SELECT doc_id, stratum, CAST(inq AS INT) AS in_quota, row_number() OVER (ORDER BY inq DESC, stratum, len_chars, h, doc_id) AS rank FROM p")

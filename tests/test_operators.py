@@ -102,11 +102,16 @@ def test_maps(spark, tmp_path):
 
 
 # ------------------------------------------------------------------ selection
-def test_quotas():
-    assert select.quotas({"a": 10, "b": 10, "c": 1}, 20) == {"a": 9, "b": 9, "c": 2}
-    assert select.quotas({"a": 100, "b": 1, "c": 1}, 3) == {"a": 2, "b": 1, "c": 1}
-    assert select.quotas({"a": 10, "b": 10, "c": 1}, 20, strict=True) == {"a": 10, "b": 9, "c": 1} or sum(select.quotas({"a": 10, "b": 10, "c": 1}, 20, strict=True).values()) == 20
-    assert select.quotas({}, 5) == {} and select.quotas({"a": 3}, 0) == {"a": 0}
+def test_quotas(spark):
+    def shares(sizes, target, strict=False):
+        table = spark.createDataFrame(list(sizes.items()), "stratum string, n_rows long")
+        return {r.stratum: r.quota for r in select.quotas(table, target, strict).collect()}
+
+    assert shares({"a": 10, "b": 10, "c": 1}, 20) == {"a": 9, "b": 9, "c": 2}
+    assert shares({"a": 100, "b": 1, "c": 1}, 3) == {"a": 2, "b": 1, "c": 1}
+    assert shares({"a": 60, "b": 60, "c": 1, "d": 1, "e": 1}, 6) == {"a": 2, "b": 2, "c": 1, "d": 1, "e": 1}
+    assert shares({"a": 10, "b": 10, "c": 1}, 20, strict=True) == {"a": 10, "b": 9, "c": 1}
+    assert shares({}, 5) == {} and shares({"a": 3}, 0) == {"a": 0} and shares({"a": 3, "b": 0}, 9) == {"a": 3}
 
 
 def test_ids(spark):
