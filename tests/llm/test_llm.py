@@ -44,7 +44,11 @@ def brute_lines(rows):
     return {at: (*first[s], len(near[s]), first[s] != at or any(x < at for x in near[s])) if s else (*at, 0, False) for at, s in lines}
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("hot", [line_dedup.HOT, 3])
+def test_line_dedup(spark, monkeypatch, hot):
+    """With most tokens usual, and with nearly all of them compared in blocks."""
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    monkeypatch.setattr(line_dedup, "BLOCK", 4 if hot == 3 else line_dedup.BLOCK)
     random.seed(5)
     base = [[f"w{random.randint(0, 400)}" for _ in range(random.randint(1, 30))] for _ in range(12)]
     texts = []
@@ -64,6 +68,27 @@ def test_line_dedup(spark):
         assert out[i].text == keep and (keep is None or out[i].n_chars == len(keep)) and out[i].row == "row"
 
 
+def test_line_dedup_long_lines(spark):
+    """Sets of 20,000 tokens right at the threshold and one token below it."""
+    n = 18_000
+    base = [f"t{i}" for i in range(n)]
+    at = [base[: n - 2000] + [f"{x}{i}" for i in range(2000)] for x in "pq"]  # 16,000 shared of 20,000: 0.8
+    below = [base[: n - 2000 - 1] + [f"{x}{i}" for i in range(2001)] for x in "rs"]
+    texts = [" ".join(x) for x in (*at, *below)]
+    got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.n_links, r.removed) for r in line_dedup.line_classes(docs(spark, texts)).collect()}
+    want = brute_lines(list(enumerate(texts)))
+    assert got == want and {v[2] for v in want.values()} == {0, 1}
+
+
+def test_line_dedup_near_copies(spark, monkeypatch):
+    """A group of near copies: no join gives a row for each of its pairs."""
+    monkeypatch.setattr(line_dedup, "HOT", 32)
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    texts = [" ".join([f"w{i}" for i in range(40) if i != k % 40] + [f"own{k}"]) for k in range(200)]
+    got = {r.doc_id: (r.class_doc_id, r.n_links, r.removed) for r in line_dedup.line_classes(docs(spark, texts)).collect()}
+    assert got == {k: (k, 199, k > 0) for k in range(200)}
+
+
 def test_line_dedup_edges(spark):
     assert line_dedup.line_classes(empty(spark)).count() == 0 and line_dedup.without_repeats(empty(spark)).count() == 0
     same = line_dedup.without_repeats(docs(spark, ["a b c", "a b c", "a b c"], [4, 4, None]).coalesce(1))
