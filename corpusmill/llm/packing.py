@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.library_tokens import encoder
-from corpusmill.session import materialize
+from corpusmill.session import materialize, quoted
 
 LENGTH = 1024
 SEQUENCES = 64
@@ -120,9 +120,9 @@ class Windows:
 
 
 # ------------------------------------------------------------------ the operator
-def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int, ranked: bool) -> Iterator[pa.RecordBatch]:
     """Ids of each document with the end id, and its place in this partition's part of its source's queue."""
-    codes, part, places = encoder(path), TaskContext.get().partitionId(), {}
+    codes, part, places = encoder(path, ranked), TaskContext.get().partitionId(), {}
     end = np.array([end_id], codes.dtype).tobytes()
     for batch in batches:
         for lo in range(0, batch.num_rows, 1024):
@@ -169,8 +169,10 @@ def pack(
     repeat are documents of their own. The order in a queue is that of the table's partitions and rows.
     Empty input gives an empty result. ``weights`` name target proportions; sources that it leaves out weigh 1.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(text_col).alias("text"))
-    coded = materialize(source.mapInArrow(lambda b: _encode(b, tokenizer, end_id), "doc_id long, source string, part int, at long, n long, ids binary"), "packed-ids")
+    source = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.coalesce(F.col(quoted(source_col)).cast("string"), F.lit("")).alias("source"), F.col(quoted(text_col)).alias("text"))
+    own = encoder(tokenizer)
+    width, ranked = own.dtype.itemsize, own.ranked
+    coded = materialize(source.mapInArrow(lambda b: _encode(b, tokenizer, end_id, ranked), "doc_id long, source string, part int, at long, n long, ids binary"), "packed-ids")
     parts = materialize(coded.groupBy("part", "source").agg(F.sum("n").alias("n")), "packed-parts")
     # totals: a row a source; bases: a running sum over partitions within each source
     totals = {r["source"]: r["n"] for r in parts.groupBy("source").agg(F.sum("n").alias("n")).collect()}
@@ -179,7 +181,6 @@ def pack(
     bases = parts.selectExpr("part", "source", "sum(n) over (partition by source order by part rows between unbounded preceding and current row) - n as base")
     small = parts.limit(BROADCAST_PARTS + 1).count() <= BROADCAST_PARTS
     placed = coded.join(F.broadcast(bases) if small else bases, ["part", "source"]).select("doc_id", "source", (F.col("base") + F.col("at")).alias("at"), "ids")
-    width = encoder(tokenizer).dtype.itemsize
     index = {s: i for i, s in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
