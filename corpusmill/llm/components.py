@@ -1,16 +1,21 @@
 """Connected components of links between rows, by alternating large-star and small-star steps.
 
-Each step only takes minima of neighbours (aggregated map-side, then joined back), so a node
-with very many links is no single task's burden. The links of each round are written to the shared
+Each step only takes minima of neighbours (aggregated map-side, then joined back; that join is Spark's own to split
+where a node has very many links). The links of each round are written to the shared
 folder, which cuts the lineage; rounds grow with the logarithm of the longest chain.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.session import discard, materialize
+from corpusmill.session import broadcast_if_small, columns_of, discard, materialize, numbered_rows
+
+#: Ids of rows that go are broadcast up to this many; beyond it the join shuffles.
+GOING_BROADCAST = 1_000_000
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -49,3 +54,23 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     else:
         raise RuntimeError("components have not settled")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def keep_least(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``docs`` with the least doc_id of their group, all columns kept: one row of each group.
+
+    grouped: from rows of doc_id (unique, not null) and text to doc_id and component_id, the group's least doc_id. Where ids of ``docs``
+    repeat or are null, rows stand for themselves: a null id is the greatest, and of equal ids the first row is the least.
+    """
+    held, own = numbered_rows(docs, "doc_id", "near-rows")
+    found = materialize(grouped(held.select(F.col("rid").alias("doc_id"), F.col("row.text").alias("text"))).select(F.col("doc_id").alias("rid"), F.col("component_id").alias("component")), "near-groups")
+    if own:
+        going = found.where("rid <> component")
+    else:
+        order = F.struct(F.col("id").isNull(), "id", "rid")
+        named = found.join(held.select("rid", F.col("row.doc_id").alias("id")), "rid")
+        least = named.groupBy("component").agg(F.min(order).alias("least"))
+        staying = least.select(F.col("least.rid").alias("rid"))
+        going = found.join(staying, "rid", "left_anti")
+    going = materialize(going.select("rid"), "near-duplicates")
+    return held.join(broadcast_if_small(going, GOING_BROADCAST), "rid", "left_anti").select(*columns_of("row", docs.columns))

@@ -14,14 +14,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.session import broadcast_if_small, materialize
+from corpusmill.session import broadcast_if_small, columns_of, join_groups, materialize, numbered_rows, quoted
 
 #: Duplicate groups are broadcast up to this many (16-byte hashes); beyond it the join shuffles.
 BROADCAST_GROUPS = 500_000
 
 
-def _joined(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.join(groups, keys).select(
+def _labelled(joined: DataFrame) -> DataFrame:
+    return joined.select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
         "group_size",
@@ -45,15 +45,15 @@ def exact_dedup(
     ``docs`` are ignored, whatever their names. ``digest`` gives hex text of any hash;
     a weak one only makes more groups go the byte-comparing way.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    source = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    source = docs.select(F.col(quoted(id_col)).alias("doc_id"), text.alias("text"))
     order = {"max": F.max, "min": F.min}[keep](F.struct("doc_id", "rid")).alias("keep")
     size = F.count("*").alias("group_size")
     narrow = materialize(
         source.select("doc_id", F.monotonically_increasing_id().alias("rid"), F.unhex(digest(F.col("text"))).alias("h"), F.unhex(F.sha2("text", 256)).alias("sha")),
         "exact-hashes",
     )
-    groups = narrow.groupBy("h").agg(size, order)
+    groups = materialize(narrow.groupBy("h").agg(size, order), "exact-groups")
     repeated = materialize(groups.where("group_size > 1").select("h"), "exact-repeated")
     read_again = source.select("doc_id", "text", F.unhex(digest(F.col("text"))).alias("h"))
     within = read_again.join(broadcast_if_small(repeated, BROADCAST_GROUPS), "h", "left_semi")
@@ -62,16 +62,28 @@ def exact_dedup(
         "exact-collided",
     )
     if collided.isEmpty():
-        return _joined(narrow, groups, ["h"])
+        return _labelled(join_groups(narrow, groups, "h", "group_size"))
     clear = narrow.join(collided, "h", "left_anti")
     mixed = materialize(
         read_again.join(collided, "h", "left_semi").select("doc_id", F.monotonically_increasing_id().alias("rid"), "h", "text", F.unhex(F.sha2("text", 256)).alias("sha")),
         "exact-mixed",
     )
-    return _joined(clear, groups, ["h"]).unionByName(_joined(mixed, mixed.groupBy("h", "text").agg(size, order), ["h", "text"]))
+    regrouped = mixed.join(mixed.groupBy("h", "text").agg(size, order), ["h", "text"])
+    return _labelled(join_groups(clear, groups, "h", "group_size")).unionByName(_labelled(regrouped))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns kept; ids are taken to be unique and not null."""
-    staying = exact_dedup(docs, id_col, text_col, keep).where("kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(staying, id_col, "left_semi")
+    """The rows of ``docs`` that stay, one for each text, all columns kept.
+
+    Where ids repeat or are null, rows are told apart by their place in the table: a null id is the least one, and of rows
+    of one id the last stays for "max", the first for "min". Empty input gives an empty result.
+    """
+    held, own = numbered_rows(docs, id_col, "exact-rows")
+    rows = held.select("rid", F.col(f"row.{quoted(text_col)}").alias("text"), F.col(f"row.{quoted(id_col)}").alias("id"))
+    if own:
+        staying = exact_dedup(rows, "rid", "text", keep).where("kept").select(F.col("doc_id").alias("rid"))
+    else:
+        found = exact_dedup(rows, "rid", "text", keep).select(F.col("doc_id").alias("rid"), "keep_id")
+        order = {"max": F.max, "min": F.min}[keep](F.struct("id", "rid")).alias("best")
+        staying = found.join(rows.select("rid", "id"), "rid").groupBy("keep_id").agg(order).select(F.col("best.rid").alias("rid"))
+    return held.join(staying, "rid", "left_semi").select(*columns_of("row", docs.columns))

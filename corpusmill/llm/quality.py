@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.session import materialize
+from corpusmill.session import columns_of, materialize, quoted, whole_rows
 
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -61,7 +61,7 @@ def with_stats(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     A window is known by the 64-bit hash of its eight words' hashes, within one text.
     """
-    whole = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.coalesce(df[text_col], F.lit("")).alias("text"))
+    whole = df.select(whole_rows(df).alias("row"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
     words = F.array_remove(F.split(F.translate("text", SPACES[1:], " " * (len(SPACES) - 1)), " "), "")
     lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, SPACES, "") != "")
     one = whole.select(
@@ -220,14 +220,18 @@ def learn_from(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
 
 
 def judged(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """row, the statistics and features, base_failed and kept, of every row."""
+    """row, the statistics and features, base_failed and kept, of every row.
+
+    A null or empty text has no words and fails the base rules. Rows that repeat, and null ids, are rows like any other; all
+    columns are in row, so that none clashes. Empty input gives an empty result.
+    """
     return with_features(with_stats(docs)).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & rules.kept())
 
 
 def keep_good(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """The rows that stay, with the columns of ``docs``.
+    """The rows that stay, with the columns of ``docs``; nulls, repeats and empty input as in ``judged``.
 
     The filter needs a column that depends on the row's position, so that it stays above the statistics:
     pushed below them, it would hold each of their expressions many times over.
     """
-    return judged(docs, rules).withColumn("_at", F.monotonically_increasing_id()).where("kept and _at >= 0").select("row.*")
+    return judged(docs, rules).withColumn("_at", F.monotonically_increasing_id()).where("kept and _at >= 0").select(*columns_of("row", docs.columns))

@@ -22,13 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.components import components
-from corpusmill.session import broadcast_if_small, materialize
+from corpusmill.llm.components import components, keep_least
+from corpusmill.session import broadcast_if_small, join_groups, materialize, quoted
 
 HOT = 2_000
 HOT_ANCHORS_BROADCAST = 100_000
-#: Ids of documents that go are broadcast up to this many; beyond it the join shuffles.
-GOING_BROADCAST = 1_000_000
 SEED = 42
 _BITS = np.arange(64, dtype=np.uint64)
 
@@ -68,7 +66,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
                 fps = np.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 # ------------------------------------------------------------------ anchors
@@ -204,18 +202,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col
     Empty input gives an empty result.
     """
     prints = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "fingerprint-classes")
     found = components(close_pairs(classes, distance))
     roots = found.join(classes, found["node"] == classes["fp"]).groupBy("root").agg(F.min("least").alias("component_id"))
     linked = materialize(found.join(roots, "root").select(F.col("node").alias("fp"), "component_id"), "fingerprint-components")
-    labels = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = materialize(classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "rows"), "fingerprint-labels")
+    return join_groups(prints, labels, "fp", "rows").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its group; all columns kept.
+    """One row of each group of near-duplicates, that of least doc_id; all columns kept.
 
-    Rows that repeat one doc_id and text stay or go together.
+    A null doc_id is the greatest, and of rows of one doc_id the first is the least; such rows are told apart by their
+    place in the table. Texts without words are copies of one another. Empty input gives an empty result.
     """
-    going = materialize(near_duplicates(docs, shingle, distance).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("going")).distinct(), "near-duplicates")
-    return docs.join(broadcast_if_small(going, GOING_BROADCAST), docs["doc_id"].eqNullSafe(F.col("going")), "left_anti")
+    return keep_least(docs, lambda rows: near_duplicates(rows, shingle, distance))
