@@ -18,7 +18,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 import regex
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.library_tokens import SPACE, byte_characters, words
+from corpusmill.session import quoted
 
 SHORT = 64
 CACHE_LIMIT = 300_000
@@ -46,7 +47,9 @@ class Bpe:
         self.suffix = model["end_of_word_suffix"] or ""
         self.byte_characters = byte_characters()
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", SPACE)
+        self.spans = regex.compile(pattern).finditer
         self.find = regex.compile(pattern).findall
+        self.path, self.kinds = path, {}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
         self.limit = limit
@@ -98,12 +101,42 @@ class Bpe:
             i = ends[i]
         return out
 
+    def _kind_of(self, c: str) -> str:
+        """A character of ASCII or Latin-1 of the same kind (letter, number, neither) as the library's own pattern takes ``c`` for.
+
+        Letters and numbers are those of the library's edition of Unicode, which is asked once for each character.
+        """
+        found = self.kinds.get(c)
+        if found is None:
+            cut = self.library.pre_tokenizer.pre_tokenize_str
+            found = self.kinds[c] = "é" if len(cut("a" + c)) == 1 else "·" if len(cut("!" + c)) == 1 else "²"
+        return found
+
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def _newer(self, chunk: str) -> str:
+        """Characters that this Python's edition of Unicode lacks, in the lower case that the library gives them."""
+        for c in {c for c in chunk if c > "\x7f" and unicodedata.category(c) == "Cn"}:
+            chunk = chunk.replace(c, self.library.normalizer.normalize_str(c))
+        return chunk
+
+    def _words(self, chunk: str) -> list[str]:
+        """The pattern's matches in a chunk of lower case."""
+        if chunk.isascii():
+            return self.find(chunk)
+        alike = "".join([c if c < "\x80" else self._kind_of(c) for c in chunk])
+        return [chunk[m.start() : m.end()] for m in self.spans(alike)]
+
     def chunk_ids(self, chunk: str) -> list[int]:
         """Ids of text without white space and added tokens."""
         if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")  # lower case is by character: no final sigma
+            chunk = self._newer(unicodedata.normalize("NFC", chunk)).replace("Σ", "σ")  # lower case is by character: no final sigma
         ids: list[int] = []
-        for word in self.find(chunk.lower()):
+        for word in self._words(chunk.lower()):
             got = self.parts.get(word)
             if got is None:
                 if len(self.parts) > self.limit:
@@ -168,12 +201,12 @@ def encode_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     No row is moved; repeated rows and null ids are rows like any other.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))
     return source.mapInArrow(lambda b: _digests(b, tokenizer), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (array of int) of every row."""
+    """doc_id and ids (array of int) of every row; a null or empty text has none. Repeated rows and null ids are rows like any other."""
 
     def run(batches):
         coder = bpe(tokenizer)
@@ -181,11 +214,11 @@ def encode_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
             ids = [coder.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_ids(coded: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id and text of rows of doc_id and ids."""
+    """doc_id and text of rows of doc_id and ids; null or empty ids give an empty text. Repeated rows and null ids are rows like any other."""
 
     def run(batches):
         coder = bpe(tokenizer)

@@ -380,6 +380,39 @@ def test_token_counts(spark):
     assert token_counts.token_counts(empty(spark), path).count() == 0
 
 
+def test_bpe_every_character():
+    """Every code point of the first two planes between other characters: letters, numbers and cases as the library has them."""
+    path = tokenizer_file("word_bpe_49k.json")
+    own, library = bpe.Bpe(path), tokenizers.Tokenizer.from_file(path)
+    for lo in range(1, 0x20000, 8192):
+        texts = [f"b{chr(c)}1 .{chr(c)}a" for c in range(lo, min(lo + 8192, 0x20000)) if not 0xD800 <= c < 0xE000]
+        for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert own.encode(t) == e.ids, ascii(t)
+
+
+def test_byte_words():
+    """Texts with all kinds of white space, cut with and without the pattern, id for id; words merged by rank where that is proven."""
+    coder = ChunkEncoder(tokenizer_file("byte_bpe_50k.json"))
+    assert coder.ranked
+    random.seed(3)
+    parts = [" ", "\n", "a", "é", "B", "1", "'s", "\t", "\xa0", "\x1c", "。", "word", ".", " \n", "\r\n", "\x00", " a", "\nb"]
+    for _ in range(5000):
+        t = "".join(random.choices(parts, k=random.randint(0, 9)))
+        assert next(iter(coder.encode([t]))) == coder._library([t])[0], repr(t)
+
+
+def test_keep_one_by_row(spark):
+    """Rows without an id, and rows that share one, stand for themselves."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    table = docs(spark, [a, a, b, a, c, d], [1, None, None, 2, 2, 3]).withColumn("a.b", F.lit(1)).coalesce(1)
+    want = [(None, b), (1, a), (2, c), (3, d)]
+    for keep in (simhash.keep_one, near_text.keep_one, lambda x: exact_dedup.keep_one(x, keep="min")):
+        out = keep(table)
+        assert out.columns == table.columns
+        got = sorted([(r.doc_id, r.text) for r in out.collect()], key=lambda r: (r[0] is not None, r))
+        assert got == want or keep not in (simhash.keep_one, near_text.keep_one) and {t for _, t in got} == {a, b, c, d} and len(got) == 4
+
+
 # ------------------------------------------------------------------ pipeline
 def test_pipeline(spark, sf, tmp_path):
     import corpus_pipeline
