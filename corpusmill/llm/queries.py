@@ -10,7 +10,7 @@ from corpusmill.llm.bpe import encode_digests
 from corpusmill.llm.exact_dedup import exact_dedup
 from corpusmill.llm.line_dedup import line_classes
 from corpusmill.llm.packing import pack
-from corpusmill.llm.sharding import place
+from corpusmill.llm.sharding import write_shards
 from corpusmill.llm.simhash import near_duplicates
 from corpusmill.llm.token_counts import token_counts
 from corpusmill.llm.token_files import read_by_key, write_token_files
@@ -39,8 +39,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, slot, shard of every document."""
-    return place(_documents(spark, sf_dir).select("doc_id"), ["doc_id"])
+    """Writes every document to its shard, then reads the shards: doc_id, slot, shard and the text's digest."""
+    written = write_shards(_documents(spark, sf_dir), ["doc_id"], scratch_path(spark, "shards"))
+    return written.select("doc_id", "slot", "shard", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ free slot of its permutation, as many slots a round as its weight. Shares theref
 at most one slot at equal weights, and adding or removing a shard moves few keys.
 
 The table has ``size`` entries, whatever the data: it is broadcast, and a key's shard is
-one hash and one lookup. No row is moved, so a hot key or source is no matter here.
+one hash and one lookup. Placement moves no row; writing shards moves each row once, and a
+shard of many rows is written by many tasks.
 """
 
 from __future__ import annotations
@@ -19,7 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.session import quoted
+
 SLOTS = 65_537
+ROWS_PER_FILE = 50_000
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 
 
@@ -55,26 +59,48 @@ def slot_of(*keys: Column, size: int = SLOTS) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(size)).cast("int")
 
 
+def free_name(name: str, taken: Sequence[str]) -> str:
+    """``name``, behind as many underscores as it takes to clash with no column."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"_{name}"
+    return name
+
+
 def place(df: DataFrame, keys: Sequence[str], shards: Sequence[str] = SHARDS, size: int = SLOTS, weights: Mapping[str, int] | None = None) -> DataFrame:
-    """``df`` with slot (int) and shard (string) appended; columns of these names are replaced.
+    """``df`` with slot (int) and shard (string) appended, by these names or, where ``df`` has such columns, behind underscores.
 
     Equal keys go to equal shards, null keys and repeated rows included. Empty input gives an
     empty result.
     """
     table = fill_table(shards, size, weights)
-    frame = pd.DataFrame({"slot": range(size), "shard": [shards[i] for i in table]})
-    lookup = df.sparkSession.createDataFrame(frame, T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("shard", T.StringType())]))
-    rest = df.drop("slot", "shard")
-    keyed = rest.withColumn("slot", slot_of(*[df[k] for k in keys], size=size))
-    return keyed.join(F.broadcast(lookup), "slot", "left").select(*rest.columns, "slot", "shard")
+    slot, shard = free_name("slot", df.columns), free_name("shard", df.columns)
+    frame = pd.DataFrame({slot: range(size), shard: [shards[i] for i in table]})
+    lookup = df.sparkSession.createDataFrame(frame, T.StructType([T.StructField(slot, T.IntegerType()), T.StructField(shard, T.StringType())]))
+    keyed = df.withColumn(slot, slot_of(*[F.col(quoted(k)) for k in keys], size=size))
+    return keyed.join(F.broadcast(lookup), slot, "left").select(*[F.col(quoted(c)) for c in df.columns], slot, shard)
+
+
+def _hashable(kind: T.DataType) -> bool:
+    """Whether Spark hashes values of this type: maps and variants have no hash."""
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    return not isinstance(kind, T.MapType | T.VariantType)
 
 
-def write_shards(df: DataFrame, keys: Sequence[str], path: str, files_per_shard: int = 8, **options) -> None:
-    """Write ``df`` as Parquet with a folder for each shard.
+def write_shards(df: DataFrame, keys: Sequence[str], path: str, rows_per_file: int = ROWS_PER_FILE, **options) -> DataFrame:
+    """Write whole rows as Parquet with a folder for each shard, and return them as read back: ``df`` with slot and shard as in ``place``.
 
-    A shard is dealt out over ``files_per_shard`` writers by a hash of the whole row, so that
-    a shard with a hot key isn't written by a single task.
+    A shard is dealt out over as many files as its number of rows asks for, by a hash of the whole row (but for maps
+    and variants), so that a shard with a hot key isn't written by a single task. Nulls and repeated rows are
+    written like any others; empty input gives an empty folder and an empty result.
     """
     placed = place(df, keys, **options)
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_shard))
-    placed.repartition(F.col("shard"), salt).write.partitionBy("shard").parquet(path)
+    shard = placed.columns[-1]
+    files, file = free_name("files", placed.columns), free_name("file", placed.columns)
+    sizes = placed.groupBy(shard).agg(F.ceil(F.count("*") / rows_per_file).alias(files))  # a row for each shard
+    hashed = [F.col(quoted(f.name)) for f in df.schema.fields if _hashable(f.dataType)]
+    salted = placed.join(F.broadcast(sizes), shard).withColumn(file, F.pmod(F.xxhash64(*hashed), F.col(files)))
+    salted.repartition(F.col(shard), F.col(file)).select(*[F.col(quoted(c)) for c in placed.columns]).write.partitionBy(shard).parquet(path)
+    return df.sparkSession.read.schema(placed.schema).parquet(path)

@@ -5,6 +5,8 @@ ascending document id, little-endian, 2 bytes each where the vocabulary allows i
 ``shard-N.idx`` (NumPy's zip of arrays) holds the minimal perfect hash of the document ids; for
 each hash number the key's fingerprint, first entry and number of entries; and for each entry
 where it starts in the payload. A lookup costs a few probes, a fingerprint check and one ranged read.
+``shards.json`` holds the bounds of the shards, the number of ids before each, and the width of an id: with it
+``open_token_files`` needs nothing but the folder.
 
 Null texts count as empty (the end id alone). Documents that repeat an id are entries next to one
 another, ordered by their ids' bytes; a null document id comes first. No document is dropped.
@@ -13,6 +15,7 @@ another, ordered by their ids' bytes; a null document id comes first. No documen
 from __future__ import annotations
 
 import io
+import json
 import math
 import zlib
 from collections.abc import Iterator
@@ -96,7 +99,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, width: int) -> Iterat
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", docs_per_shard: int = DOCS_PER_SHARD) -> dict:
-    """Encode every whole text and write the shards; returns what a reader needs (bounded by MAX_SHARDS)."""
+    """Encode every whole text, write the shards and what a reader needs (bounded by MAX_SHARDS); returns ``open_token_files(folder)``."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bounds = shard_bounds(source.select("doc_id"), "doc_id", docs_per_shard)
     width = encoder(tokenizer).dtype.itemsize
@@ -107,7 +110,17 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     for r in sorted(written):
         bases[r["shard"]] = base
         base += r["tokens"]
-    return {"folder": folder, "bounds": bounds, "bases": bases, "width": width, "tokens": base, "docs": sum(r["docs"] for r in written)}
+    facts = {"bounds": bounds, "bases": sorted(bases.items()), "width": width, "tokens": base, "docs": sum(r["docs"] for r in written)}
+    with replacing(f"{folder}/shards.json") as f:
+        f.write(json.dumps(facts).encode())
+    return open_token_files(folder)
+
+
+def open_token_files(folder: str) -> dict:
+    """What ``read_by_key`` takes, from a folder that ``write_token_files`` has finished."""
+    with reading(f"{folder}/shards.json") as f:
+        facts = json.loads(f.read())
+    return facts | {"folder": folder, "bases": {shard: base for shard, base in facts["bases"]}}
 
 
 class Shard:

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import struct
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -174,13 +175,55 @@ def test_sharding(spark, tmp_path):
     for bad in ((names, 1000), (names[:1] * 2, 1009), ([], 7)):
         with pytest.raises(ValueError):
             sharding.fill_table(*bad)
-    df = docs(spark, ["a"] * 50, [*range(48), 1, None])
-    got = sharding.place(df, ["doc_id"], names, 1009).collect()
-    assert len(got) == 50 and all(r.shard == names[table[r.slot]] for r in got)
-    assert len({(r.doc_id, r.shard) for r in got}) == 49
-    assert sharding.place(empty(spark), ["doc_id"]).count() == 0
-    sharding.write_shards(df.drop("shard"), ["doc_id"], str(tmp_path / "x"), shards=names, size=1009)
-    assert spark.read.parquet(str(tmp_path / "x")).count() == 50
+
+
+def brute_slots(names, size, turns):
+    """Each shard's whole order of preference written out, and the first free slot of it taken at every turn."""
+    orders = [[(xxhash.xxh64_intdigest(n, seed=1) + j * (xxhash.xxh64_intdigest(n, seed=2) % (size - 1) + 1)) % size for j in range(size)] for n in names]
+    owner = {}
+    while len(owner) < size:
+        for name, order, turn in zip(names, orders, turns, strict=True):
+            for slot in [s for s in order if s not in owner][:turn]:
+                owner[slot] = name
+    return [owner[s] for s in range(size)]
+
+
+def brute_slot(key, size):
+    """Spark's hash of a long: XXH64 of its eight bytes from seed 42; of a null, the seed itself."""
+    h = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), seed=42)
+    return (h - (1 << 64) if h >> 63 else h) % size
+
+
+@pytest.mark.parametrize("weights", [None, {"n0": 3, "n4": 2}])
+def test_shard_of_each_key(spark, tmp_path, weights):
+    """Rows against brute force: nulls, repeats, columns called slot, shard, files and a.b, and a map."""
+    names, size = [f"n{i}" for i in range(7)], 1009
+    owner = brute_slots(names, size, [(weights or {}).get(n, 1) for n in names])
+    rows = [(i, f"t{i}" * 40, 7, "mine", 1, {"k": i}, 2) for i in (*range(300), *[5] * 50, -3, None, 1 << 40)] + [(None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, slot int, shard string, files int, m map<string,bigint>, `a.b` int")
+    want = Counter((r[0], r[1], r[3], r[6], brute_slot(r[0], size), owner[brute_slot(r[0], size)]) for r in rows)
+    placed = sharding.place(df, ["doc_id"], names, size, weights)
+    assert placed.columns == [*df.columns, "_slot", "_shard"]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that small files stay apart
+    try:
+        written = sharding.write_shards(df, ["doc_id"], str(tmp_path / "x"), rows_per_file=20, shards=names, size=size, weights=weights)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for got in (placed, written):
+        assert Counter((r["doc_id"], r["text"], r["shard"], r["a.b"], r["_slot"], r["_shard"]) for r in got.collect()) == want
+    folders = Counter(f.rsplit("/", 2)[1] for f in written.inputFiles())
+    assert len(folders) == 7 and max(folders.values()) > 1
+    assert sharding.write_shards(empty(spark), ["doc_id"], str(tmp_path / "y")).count() == 0
+
+
+def test_sharding_query(spark):
+    from corpusmill.llm.queries import op3_sharding
+
+    source = "/root/testdata/sf0.001"
+    owner = [sharding.SHARDS[i] for i in sharding.fill_table(sharding.SHARDS)]
+    texts = spark.read.parquet(f"{source}/documents.parquet").select("doc_id", "text").collect()
+    want = sorted((r.doc_id, slot := brute_slot(r.doc_id, sharding.SLOTS), owner[slot], hashlib.sha256((r.text or "").encode()).hexdigest()) for r in texts)
+    assert sorted(tuple(r) for r in op3_sharding(spark, source).collect()) == want
 
 
 # ------------------------------------------------------------------ 4
@@ -221,6 +264,8 @@ def test_token_files(spark):
         want.append((start, i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())))
         start += len(x)
     assert got == want
+    alone = token_files.open_token_files(files["folder"])
+    assert alone == files and token_files.read_by_key(docs(spark, ["x"], [50]), alone).count() == 2
     assert token_files.read_by_key(docs(spark, ["x"], [999]), files).count() == 0
     none = token_files.write_token_files(empty(spark), scratch_path(spark, "tf"), path, 1)
     assert none["docs"] == 0
