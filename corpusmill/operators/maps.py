@@ -13,7 +13,7 @@ from corpusmill.session import broadcast_if_small
 #: The four grades, best first.
 GRADES = ("A_same_tone_attested", "B_same_tone", "C_diff_tone_attested", "D_diff_tone")
 PER_POSITION, PER_WORD = 4, 8
-#: Words of more characters than this aren't expanded: options multiply with each.
+#: Words of up to this many characters are expanded whole; longer ones, whose options multiply too far, by number of changes.
 LONGEST = 4
 
 
@@ -39,11 +39,61 @@ def sound_index(sounds: DataFrame) -> DataFrame:
     return sounds.groupBy("syllable").agg(F.array_sort(F.collect_set("char")).alias("chars"))
 
 
+def _expand(pools: Column, changes: Column | None = None, usable=lambda o: F.lit(True)) -> Column:
+    """All words out of one option a position, of at most so many changes; an option that changes has to be usable."""
+    start = F.array(F.struct(F.lit("").alias("ch"), F.lit(True).alias("same"), F.lit(0).alias("changed"), F.lit(1 << 60).cast("long").alias("n")))
+
+    def step(acc: Column, pool: Column) -> Column:
+        held = F.filter(pool, lambda o: (o["changed"] == 0) | usable(o))
+        grown = F.flatten(F.transform(acc, lambda a: F.transform(held, lambda o: F.struct(F.concat(a["ch"], o["ch"]).alias("ch"), (a["same"] & o["same"]).alias("same"), (a["changed"] + o["changed"]).alias("changed"), F.least(a["n"], o["n"]).alias("n")))))
+        return grown if changes is None else F.filter(grown, lambda x: x["changed"] <= changes)
+
+    return F.aggregate(pools, start, step)
+
+
+def _ways(pools: Column, usable) -> Column:
+    """How many words differ from the pools' own in k usable options, by k from 0."""
+    none = F.transform(F.sequence(F.lit(0), F.size(pools)), lambda k: F.when(k == 0, 1.0).otherwise(0.0))
+
+    def step(acc: Column, pool: Column) -> Column:
+        m = F.size(F.filter(pool, lambda o: (o["changed"] == 1) & usable(o)))
+        return F.transform(acc, lambda x, k: x + m * F.when(k > 0, F.get(acc, k - 1)).otherwise(0.0))
+
+    return F.aggregate(pools, none, step)
+
+
+def _enough(ways: Column, need: Column) -> Column:
+    """The least number of changes within which there are ``need`` words, or all there are."""
+    size = F.size(ways) - 1
+    total = lambda k: F.aggregate(F.slice(ways, 2, k), F.lit(0.0), lambda a, x: a + x)
+    goal = F.least(need.cast("double"), total(size))
+    return F.when(goal == 0, 0).otherwise(F.array_min(F.filter(F.sequence(F.lit(1), size), lambda k: total(k) >= goal)))
+
+
+def _long_candidates(per_word: DataFrame, attested: DataFrame) -> DataFrame:
+    """word and x, of words of any length: every attested candidate, and of the others all that can be among the first PER_WORD.
+
+    Unattested candidates of a grade come in the order of their number of changes, so those of more changes than
+    PER_WORD of them need can't be reached; attested ones are found from their side, by first character and size.
+    """
+    grams = attested.where(F.length("gram") > LONGEST).select(F.substring("gram", 1, 1).alias("first"), F.length("gram").alias("size"), X.characters(F.col("gram")).alias("cs"))
+    asked = per_word.select("word", "pools", F.size("pools").alias("size"), F.explode(F.transform(F.get("pools", F.lit(0)), lambda o: o["ch"])).alias("first"))
+    met = asked.join(grams, ["size", "first"]).withColumn("chosen", F.zip_with("pools", "cs", lambda p, c: F.filter(p, lambda o: o["ch"] == c)))
+    seen = met.where(F.forall("chosen", lambda p: F.size(p) > 0)).select("word", F.get(_expand(F.col("chosen")), F.lit(0)).alias("x"))
+    need = per_word.join(seen.groupBy("word").agg(F.count("*").alias("n_seen")), "word", "left").withColumn("need", F.lit(PER_WORD) + F.coalesce("n_seen", F.lit(0)))
+    every, same = _ways(F.col("pools"), lambda o: F.lit(True)), _ways(F.col("pools"), lambda o: o["same"])
+    counted = need.withColumns({"same_ways": same, "other_ways": F.zip_with(every, same, lambda x, y: x - y)})
+    bound = counted.withColumns({"same_k": _enough(F.col("same_ways"), F.col("need")), "other_k": _enough(F.col("other_ways"), F.col("need"))})
+    same_tone = _expand(F.col("pools"), F.col("same_k"), lambda o: o["same"])
+    others = F.filter(_expand(F.col("pools"), F.col("other_k")), lambda x: ~x["same"])
+    return bound.select("word", F.explode(F.concat(same_tone, others)).alias("x")).unionByName(seen).distinct()
+
+
 def word_candidates(words: DataFrame, sounds: DataFrame, freq: DataFrame, attested: DataFrame, least: int = 2) -> DataFrame:
     """Up to PER_WORD candidates of each word, each position kept or replaced by a frequent character of its sound.
 
     words: word; sounds: char, syllable, tone_syllable; freq: char, count; attested: gram, n. Options are
-    cut to PER_POSITION before they multiply. Characters of which neither has a tone count as of one tone.
+    cut to PER_POSITION before they multiply; words are of any length. Characters of which neither has a tone count as of one tone.
     """
     common = sounds.join(freq.where(F.col("count") >= least), "char")
     pairs = sounds.select(F.col("char").alias("c"), "syllable", F.col("tone_syllable").alias("t")).join(common.select(F.col("char").alias("alt"), "syllable", F.col("tone_syllable").alias("alt_t"), F.col("count").alias("alt_n")), "syllable").where("c <> alt")
@@ -51,17 +101,14 @@ def word_candidates(words: DataFrame, sounds: DataFrame, freq: DataFrame, attest
     options = pairs.withColumn("_k", best).where(F.col("_k") <= PER_POSITION)
     own = freq.select(F.col("char").alias("c"), F.col("count").alias("own_n"))
     table = options.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("_k", "alt", F.col("t").eqNullSafe(F.col("alt_t")).alias("same"), "alt_n"))).alias("alts"))
-    chars = words.where(F.length("word") <= LONGEST).select("word", F.posexplode(X.characters(F.col("word"))).alias("pos", "c"))
+    chars = words.select("word").distinct().select("word", F.posexplode(X.characters(F.col("word"))).alias("pos", "c"))
     held = chars.join(own, "c", "left").join(table, "c", "left")
     keep = F.struct(F.col("c").alias("ch"), F.lit(True).alias("same"), F.lit(0).alias("changed"), F.coalesce("own_n", F.lit(0)).cast("long").alias("n"))
     alts = F.transform(F.coalesce("alts", F.array().cast("array<struct<_k:int,alt:string,same:boolean,alt_n:bigint>>")), lambda a: F.struct(a["alt"].alias("ch"), a["same"].alias("same"), F.lit(1).alias("changed"), a["alt_n"].cast("long").alias("n")))
     per_word = held.select("word", "pos", F.concat(F.array(keep), alts).alias("o")).groupBy("word").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "o"))), lambda x: x["o"]).alias("pools"))
-    start = F.array(F.struct(F.lit("").alias("ch"), F.lit(True).alias("same"), F.lit(0).alias("changed"), F.lit(1 << 60).cast("long").alias("n")))
-
-    def step(acc: Column, pool: Column) -> Column:
-        return F.flatten(F.transform(acc, lambda a: F.transform(pool, lambda o: F.struct(F.concat(a["ch"], o["ch"]).alias("ch"), (a["same"] & o["same"]).alias("same"), (a["changed"] + o["changed"]).alias("changed"), F.least(a["n"], o["n"]).alias("n")))))
-
-    made = per_word.select("word", F.explode(F.aggregate("pools", start, step)).alias("x")).select("word", F.col("x.ch").alias("candidate"), F.col("x.same").alias("same_tone"), F.col("x.changed").alias("n_changed"), F.col("x.n").alias("min_char_freq")).where("n_changed > 0")
+    long = F.size("pools") > LONGEST
+    found = per_word.where(~long).select("word", F.explode(_expand(F.col("pools"))).alias("x")).unionByName(_long_candidates(per_word.where(long), attested))
+    made = found.select("word", F.col("x.ch").alias("candidate"), F.col("x.same").alias("same_tone"), F.col("x.changed").alias("n_changed"), F.col("x.n").alias("min_char_freq")).where("n_changed > 0")
     seen = made.join(attested.select(F.col("gram").alias("candidate"), "n"), "candidate", "left").withColumn("attested", F.coalesce("n", F.lit(0))).drop("n")
     grade = F.when(F.col("same_tone") & (F.col("attested") >= 1), GRADES[0]).when(F.col("same_tone"), GRADES[1]).when(F.col("attested") >= 1, GRADES[2]).otherwise(GRADES[3])
     w = Window.partitionBy("word").orderBy("confidence", "n_changed", F.desc("attested"), F.desc("min_char_freq"), "candidate")

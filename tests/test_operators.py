@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -321,3 +322,38 @@ def test_streams(spark, tmp_path):
         q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"c-{name}")).trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert spark.table(name).count() == n
+
+
+def _brute_candidates(word, sounds, freq, attested):
+    """The whole product of a word's options, in order."""
+    tone = {c: t for c, _, t in sounds}
+    pools = []
+    for c in word:
+        own = {s for x, s, _ in sounds if x == c}
+        alts = [x for x, s, _ in sounds if s in own and x != c and freq.get(x, 0) >= 2]
+        pools.append([c, *sorted(alts, key=lambda x: (-freq[x], x))[: maps.PER_POSITION]])
+    rows = []
+    for made in map("".join, itertools.product(*pools)):
+        if made != word:
+            same, n = all(tone.get(a) == tone.get(b) for a, b in zip(made, word, strict=True)), attested.get(made, 0)
+            grade = maps.GRADES[(0 if same else 2) + (n == 0)]
+            rows.append((grade, sum(a != b for a, b in zip(made, word, strict=True)), -n, -min(freq.get(c, 0) for c in made), made))
+    return sorted(rows)[: maps.PER_WORD]
+
+
+def test_word_candidates_of_any_length(spark):
+    """Words of 1 to 8 characters, some with few options and some with many, attested ones of all lengths among them."""
+    rng = random.Random(4)
+    letters = "abcdefghijklmnop"
+    sounds = [(c, "s%d" % (i // 5 if i < 10 else 2 + i // 2), "t%d" % rng.randint(0, 1)) for i, c in enumerate(letters)]
+    freq = {c: rng.choice([1, 2, 2, 5, 9]) for c in letters[:-1]}
+    words = ["".join(rng.choice(letters[10:] if k % 2 else letters) for _ in range(1 + k % 7)) for k in range(40)] + ["opopopop"]
+    by_sound = {s: [c for c, x, _ in sounds if x == s] for _, s, _ in sounds}
+    attested = {"".join(rng.choice(by_sound[next(s for x, s, _ in sounds if x == c)]) for c in w): rng.randint(1, 9) for w in words * 6}
+    got = maps.word_candidates(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame(sounds, "char string, syllable string, tone_syllable string"), spark.createDataFrame(list(freq.items()), "char string, count long"), spark.createDataFrame(list(attested.items()), "gram string, n long"))
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.word, []).append((r.confidence, r.n_changed, -r.attested, -r.min_char_freq, r.candidate))
+    want = {w: x for w in words if (x := _brute_candidates(w, sounds, freq, attested))}
+    assert {w: sorted(x) for w, x in found.items()} == want
+    assert any(len(w) > maps.LONGEST for w in want)
