@@ -126,7 +126,7 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="corpusmill")
     sub = parser.add_subparsers(dest="command", required=True)
     for name, flags in {
-        "validate": ("--seeds", "--variants", "--exclusion"),
+        "validate": ("--seeds", "--variants", "--exclusion", "--safe-control", "--expect-version"),
         "verify-leakage": ("--seeds", "--hashes", "--exclusion"),
         "export-hashes": ("--input", "--out"),
         "stratify": ("--pool", "--out"),
@@ -162,7 +162,11 @@ def main(argv: list[str] | None = None) -> int:
     args = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     if args.command == "validate":
-        code, found = validate.formal_gate(_table(spark, args.seeds), _table(spark, args.variants), _table(spark, args.exclusion), args.mode)
+        paths = {"seeds": args.seeds, "variants": args.variants, "safe": args.safe_control, "exclusion": args.exclusion}
+        files = {name: _table(spark, path) for name, path in paths.items()}
+        absent = [name for name, path in paths.items() if path is not None and files[name] is None]
+        version = tables.files(spark, args.exclusion).select("sha256").first()[0] if args.expect_version and files["exclusion"] is not None else None
+        code, found = validate.formal_gate(files["seeds"], files["variants"], files["exclusion"], args.mode, safe=files["safe"], absent=absent, version=version, expected=args.expect_version)
         if found is not None:
             print(tables.to_markdown(validate.totals(found).orderBy("level")))
         return code

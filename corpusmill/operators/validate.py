@@ -6,9 +6,10 @@ pass over the table; rules on sets of rows are queries of their own.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
@@ -146,19 +147,39 @@ def gate(violations: DataFrame) -> int:
     return 0 if violations.where("level = 'error'").isEmpty() else 1
 
 
-def formal_gate(seeds: DataFrame | None, variants: DataFrame | None, listed: DataFrame | None, mode: str = "formal", norm=X.norm) -> tuple[int, DataFrame | None]:
-    """Exit code and violations. 2: nothing to check, or a formal run without an exclusion list (V34, V35); 1 if a list is empty."""
-    if seeds is None and variants is None or mode == "formal" and listed is None:
+def _fact(spark: SparkSession, rule: str, table: str, detail: str) -> DataFrame:
+    return spark.createDataFrame([(rule, "error", table, None, None, detail)], "rule_id string, level string, table_name string, row_no long, key string, detail string")
+
+
+def formal_gate(seeds: DataFrame | None, variants: DataFrame | None, listed: DataFrame | None, mode: str = "formal", norm=X.norm, safe: DataFrame | None = None, absent: Sequence[str] = (), version: str | None = None, expected: str | None = None) -> tuple[int, DataFrame | None]:
+    """Exit code and violations. 2: nothing to check, or a formal run without an exclusion list (V34, V35); 1 if a list is empty.
+
+    absent: those of seeds, variants, safe and exclusion that were named but whose file isn't there (V36, V33, V28). A table
+    without a column that it must have (V01) is held against the exclusion list alone. version, expected: of the exclusion list.
+    """
+    if seeds is None and variants is None and not {"seeds", "variants"} & set(absent) or mode == "formal" and listed is None and "exclusion" not in absent:
         return 2, None
-    found = []
-    tables = {}
-    if seeds is not None:
-        found.append(seed_violations(seeds))
-        tables["seeds"] = (seeds, "source_id")
-    if variants is not None:
-        found.append(variant_violations(variants, seeds, mode))
-        tables["variants"] = (variants, "variant_id")
-    found.append(exclusion_violations(tables, listed, mode, norm=norm))
+    spark = next((df.sparkSession for df in (seeds, variants, safe, listed) if df is not None), None) or SparkSession.active()
+    found = [_fact(spark, "V33" if name == "safe" else "V36", name, "file is missing") for name in absent if name != "exclusion"]
+    tables, whole = {}, {}
+    for name, df, need, key in (("seeds", seeds, SEED_COLUMNS, "source_id"), ("variants", variants, VARIANT_COLUMNS, "variant_id"), ("safe", safe, (), "source_id")):
+        if df is None:
+            continue
+        lacking = [c for c in need if c not in df.columns]
+        if lacking:
+            found.append(missing_columns(df, need, name))
+        elif need:
+            whole[name] = df
+        if "text" in df.columns:
+            tables[name] = (df if key in df.columns else df.withColumn(key, F.lit(None).cast("string")), key)
+    if "seeds" in whole:
+        found.append(seed_violations(whole["seeds"]))
+    if "variants" in whole:
+        found.append(variant_violations(whole["variants"], whole.get("seeds"), mode))
+    if tables:
+        found.append(exclusion_violations(tables, listed, mode, version, expected, norm=norm))
+    elif listed is None:
+        found.append(_fact(spark, "V28", "exclusion", "list is missing").withColumn("level", F.lit(level(mode))))
     out = reduce(DataFrame.unionByName, found)
     return gate(out), out
 

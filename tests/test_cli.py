@@ -1,7 +1,9 @@
+import hashlib
+
 import pytest
 
 from corpusmill import cli
-from corpusmill.operators import perturb
+from corpusmill.operators import perturb, validate
 from corpusmill.sources import tables
 
 
@@ -28,6 +30,29 @@ def test_commands(spark, tmp_path, capsys):
     assert "坏*蛋" not in capsys.readouterr().err
 
 
+def test_validate_faults(spark, tmp_path, capsys):
+    """Files that aren't there, columns that aren't there, a safe table with a listed text, and the list's version."""
+    seeds, short, listed = tmp_path / "s.csv", tmp_path / "short.csv", tmp_path / "list.csv"
+    seeds.write_text("source_id,text,target_span_start,target_span_end,target_span_text,toxicity_label,source_dataset,split\ns1,abcd,1,3,bc,1,toy,train\n")
+    short.write_text("source_id,text\ns1,abcd\n")
+    listed.write_text("text\nother\n")
+    run = lambda *a: cli.main(["validate", *map(str, a)])
+    rules = lambda **k: sorted(r.rule_id for r in validate.formal_gate(**k)[1].collect())
+    table = lambda path: tables.with_row(tables.read_any(spark, str(path)), "row_no")
+    gone = tmp_path / "gone.csv"
+    assert run("--seeds", gone, "--exclusion", listed) == 1
+    assert run("--seeds", gone) == 2 and run("--exclusion", listed) == 2
+    assert run("--seeds", seeds, "--exclusion", gone) == 1
+    assert run("--seeds", short, "--exclusion", listed) == 1
+    assert run("--seeds", seeds, "--exclusion", listed, "--safe-control", gone) == 1
+    assert run("--seeds", seeds, "--exclusion", listed, "--safe-control", listed) == 1
+    assert run("--seeds", seeds, "--exclusion", listed, "--expect-version", "0" * 64) == 1
+    assert run("--seeds", seeds, "--exclusion", listed, "--expect-version", hashlib.sha256(listed.read_bytes()).hexdigest().upper()) == 0
+    assert rules(seeds=table(short), variants=None, listed=table(listed)) == ["V01"] * 6
+    assert rules(seeds=None, variants=None, listed=table(listed), absent=["seeds", "variants"]) == ["V36", "V36"]
+    assert rules(seeds=table(short), variants=None, listed=None, absent=["exclusion"]) == [*["V01"] * 6, "V28"]
+
+
 def test_caps():
     assert perturb.parse_caps("Homo=2, PY_Full=1,,x") == {"Homo": 2, "PY_Full": 1}
     for bad in ("Nope=1", "Homo=x"):
