@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from pyspark.sql import SparkSession
@@ -26,7 +27,7 @@ def _seeds(spark: SparkSession, path: str):
 
 
 def _generate(spark: SparkSession, args) -> int:
-    """--maps: a folder of NAME.csv tables of char and replacements."""
+    """--maps: a folder of NAME.csv tables of char and replacements. --limit: so many seeds, from the top. --batch-log: what the batch was made with."""
     found, versions = {}, []
     for name in sorted({t for ts in perturb.TABLES.values() for t in ts}):
         path = f"{args.maps}/{name}.csv"
@@ -36,15 +37,73 @@ def _generate(spark: SparkSession, args) -> int:
             versions.append((name, perturb.config_version("m", {r["char"]: r["replacements"] for r in rows})))
     rules = args.rules.split(",") if args.rules else list(perturb.RULES)
     caps = perturb.CAPS | perturb.parse_caps(args.caps or "")
-    seeds = _seeds(spark, args.seeds)
+    seeds = tables.head(_seeds(spark, args.seeds), args.limit)
     made = perturb.generate(seeds, found, rules, caps)
     version = perturb.content_version("rm", versions)
-    batch = perturb.config_version("gb", {"version": version, "rules": rules, "caps": caps})
+    config = {"version": version, "rules": rules, "caps": caps, "limit": args.limit}
+    batch = perturb.config_version("gb", config)
     out = perturb.stamp(made, perturb.mapping_sources(found, []), version, batch, False)
     tables.write_csv(out, args.out, out.columns, bom=True)
     if args.stats:
         counted = perturb.stats(seeds, tables.read_csv(spark, args.out), rules)
         tables.write_csv(counted, args.stats, counted.columns, one_file=True, bom=True)
+    if args.batch_log:
+        by_type = {r["attack_type"]: r["count"] for r in tables.read_csv(spark, args.out).groupBy("attack_type").count().collect()}  # a row for each rule
+        written = manifest.content_version(tables.files(spark, args.out, "*.csv"), "name", "sha256", "out").first()["version"]
+        log = {"generation_batch_id": batch, "is_pilot": False, "mapping_version": version, "placeholder_tables_used": [], "output_version": written, "output_rows": sum(by_type.values()), "output_by_type": by_type, "config": config}
+        text = json.dumps(log, ensure_ascii=False, indent=2, sort_keys=True)
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(args.batch_log)
+    return 0
+
+
+def _select_seeds(spark: SparkSession, args) -> int:
+    """--split-map: a mapping table whose characters can be taken apart."""
+    pool = tables.with_row(tables.read_any(spark, args.pool).drop("_row"))
+    tables.require(pool, ("text", "toxic_entity", "mech_flags", "seed_normalized_hash", "source_dataset", "orig_file", "orig_line"))
+    parted = [r["char"] for r in tables.read_csv_or_empty(spark, args.split_map, ("char",)).select("char").distinct().collect()] if args.split_map else []  # an alphabet
+    array = lambda cs: F.array(*map(F.lit, cs)).cast("array<string>")
+    out = select.seed_table(pool, args.want, array(parted), array(maps.EMOJI))
+    tables.write_csv(out.orderBy("source_id"), args.out, out.columns, one_file=True, bom=True)
+    return 0
+
+
+def _word_candidates(spark: SparkSession, args) -> int:
+    """--sounds: char, syllable, tone_syllable. --corpus: text, where candidates are looked for. --freq: char, count; the corpus's own if not given."""
+    words = tables.read_any(spark, args.words).select(F.col("target_span_text").alias("word")).where("word <> ''")
+    corpus = tables.read_any(spark, args.corpus)
+    freq = tables.frequencies(tables.read_csv(spark, args.freq)) if args.freq else maps.char_frequency(corpus)
+    made = maps.word_candidates(words, tables.read_csv(spark, args.sounds), freq, maps.evidence(corpus), args.least)
+    columns = ["word", "candidate", "same_tone", "n_changed", "attested", "min_char_freq", "confidence", "place"]
+    tables.write_csv(made.orderBy("word", "place"), args.out, columns, one_file=True, bom=True)
+    return 0
+
+
+def _build_maps(spark: SparkSession, args) -> int:
+    """--forms: a mapping table of characters and their other written form. Writes a folder for each of five tables under --out."""
+    usage = maps.word_usage(tables.read_any(spark, args.seeds)).where("word <> ''")
+    forms = {}
+    if args.forms:
+        rows = tables.map_one(tables.with_row(tables.read_csv(spark, args.forms)))
+        forms = {r["char"]: r["replacement"] for r in rows.collect()}  # an alphabet
+    for name, table in maps.graphic_tables(usage, forms).items():
+        tables.write_map(table, f"{args.out}/{name}.csv")
+    chars = maps.char_usage(usage)
+    for name, table in (("leet", maps.LEET), ("emoji", maps.EMOJI)):
+        print(tables.to_markdown(maps.hits(chars, table).orderBy("char"), name))
+    return 0
+
+
+def _deliver(spark: SparkSession, args) -> int:
+    """A manifest of the seeds, the variants and the mapping tables; 2 if there is none or one isn't there."""
+    files = [(path, role) for path, role in ((args.seeds, "seeds"), (args.variants, "variants")) if path]
+    if not files or not all(tables.path_exists(spark, path) for path, _ in files):
+        return 2
+    if args.rules_dir and tables.path_exists(spark, args.rules_dir):
+        names = tables.files(spark, args.rules_dir, "*.csv").select("name").orderBy("name").collect()  # the mapping tables
+        files += [(f"{args.rules_dir}/{r['name']}", "mapping table") for r in names]
+    number = lambda x: None if x is None else float(x)
+    out = manifest.delivery(spark, files, args.version or "", args.review_round or "", number(args.kappa), number(args.disagreement_rate))
+    tables.write_csv(out, args.out, out.columns, one_file=True, bom=True)
     return 0
 
 
@@ -94,6 +153,9 @@ def _pilot_add(spark: SparkSession, args) -> int:
     print(tables.to_markdown(found.select("rule_id", "level", "key")))
     if validate.gate(found):
         return 1
+    if args.variants:
+        before = spark.read.parquet(args.variants) if tables.path_exists(spark, args.variants) else None
+        tables.append(manifest.pilot_variants(entries, tables.read_csv(spark, args.seeds), before), args.variants)
     manifest.pilot_add(entries, args.log)
     return 0
 
@@ -109,7 +171,11 @@ def _swap(spark: SparkSession, args) -> int:
 
 
 MORE = {
+    "build-maps": _build_maps,
+    "deliver": _deliver,
     "generate": _generate,
+    "select-seeds": _select_seeds,
+    "word-candidates": _word_candidates,
     "swap": _swap,
     "sheet": _sheet,
     "check": _check,
@@ -132,7 +198,11 @@ def main(argv: list[str] | None = None) -> int:
         "stratify": ("--pool", "--out"),
         "agreement": ("--a", "--b", "--out"),
         "manifest": ("--input", "--role"),
-        "generate": ("--seeds", "--maps", "--out", "--stats", "--caps", "--rules"),
+        "generate": ("--seeds", "--maps", "--out", "--stats", "--caps", "--rules", "--batch-log"),
+        "select-seeds": ("--pool", "--split-map", "--out"),
+        "word-candidates": ("--words", "--sounds", "--freq", "--corpus", "--out"),
+        "build-maps": ("--seeds", "--forms", "--out"),
+        "deliver": ("--seeds", "--variants", "--rules-dir", "--version", "--review-round", "--kappa", "--disagreement-rate", "--out"),
         "swap": ("--seeds", "--out"),
         "sheet": ("--shortlist", "--annotators", "--version", "--out"),
         "check": ("--sheet", "--shortlist"),
@@ -140,7 +210,7 @@ def main(argv: list[str] | None = None) -> int:
         "import-split": ("--candidates", "--freq", "--out"),
         "code-manifest": ("--folder", "--out"),
         "pilot-init": ("--log",),
-        "pilot-add": ("--log", "--entries", "--seeds"),
+        "pilot-add": ("--log", "--entries", "--seeds", "--variants"),
         "pilot-report": ("--log",),
     }.items():
         p = sub.add_parser(name)
@@ -148,6 +218,12 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument(flag)
         if name == "validate":
             p.add_argument("--mode", choices=("formal", "pilot"), default="formal")
+        if name == "generate":
+            p.add_argument("--limit", type=int, default=0)
+        if name == "select-seeds":
+            p.add_argument("--want", type=int, default=200)
+        if name == "word-candidates":
+            p.add_argument("--least", type=int, default=2)
         if name == "swap":
             p.add_argument("--enable", action="store_true")
             p.add_argument("--mode", choices=("adjacent", "reverse", "both"), default="both")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
@@ -15,6 +15,14 @@ SMALL_CLASS = 50
 LOG = ("date", "annotator", "seed_id", "attack_type", "attempt_no", "text", "minutes_spent", "difficulty_1to5", "recoverability", "blocker", "secondary_types", "note", "variant_id", "seed_not_found")
 
 
+#: The columns of a variants table made by hand.
+PILOT_VARIANT = (
+    "source_id", "variant_id", "text", "attack_family", "attack_type", "secondary_attack_types", "is_adversarial", "generation_method",
+    "generation_rule_id", "recoverability", "semantic_score_raw", "semantic_score_normalized", "quality_pass",
+    "qc_reviewer_1", "qc_reviewer_2", "qc_arbiter", "split", "is_pilot",
+)
+
+
 def _or_null(df: DataFrame, c: str, count: Column) -> Column:
     """A column that isn't there has no count, rather than 0."""
     return count if c in df.columns else F.lit(None).cast("long")
@@ -65,6 +73,36 @@ def problems(df: DataFrame, role: str, least: int = SMALL_CLASS, is_csv: bool =
     return spark.createDataFrame(found, "rule_id string, detail string")
 
 
+#: The columns of a delivery manifest.
+DELIVERY = (
+    "file", "role", "version", "sha256", "bytes", "rows", "split_train", "split_dev", "split_test", "split_other",
+    "label_toxic", "label_non_toxic", "label_missing", "qc_pass", "qc_fail", "qc_pending", "attack_types",
+    "review_round", "kappa", "disagreement_rate",
+)
+
+
+def delivery(spark: SparkSession, files: Iterable[tuple[str, str]], version: str = "", review_round: str = "", kappa: float | None = None, disagreement_rate: float | None = None) -> DataFrame:
+    """A row for each delivered file (path, role): hash, size, counts by split, label and quality state, kinds as k=v;k=v.
+
+    A count of a column that isn't there is null. What isn't CSV has a hash and size only. The list of files is a delivery's, so a few.
+    """
+    rows = None
+    for path, role in files:
+        row = tables.files(spark, path).select(F.col("name").alias("file"), F.lit(role).alias("role"), F.lit(version).alias("version"), "sha256", "bytes")
+        if path.endswith(".csv"):
+            df = tables.read_csv(spark, path)
+            counts = summary(df).withColumnsRenamed({"n_rows": "rows", "label_1": "label_toxic", "label_0": "label_non_toxic"})
+            kinds = pairs_text(df.where(~X.blank(F.col("attack_type"))), "attack_type") if "attack_type" in df.columns else counts.select(F.lit("").alias("pairs"))
+            row = row.join(F.broadcast(counts)).join(F.broadcast(kinds.withColumnRenamed("pairs", "attack_types")))  # one row each
+        row = row.withColumns({"review_round": F.lit(review_round), "kappa": F.lit(_places(kappa)), "disagreement_rate": F.lit(_places(disagreement_rate))})
+        rows = row if rows is None else rows.unionByName(row, allowMissingColumns=True)
+    return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("long").alias(c) for c in DELIVERY])
+
+
+def _places(x: float | None) -> str:
+    return "" if x is None else f"{x:.3f}"
+
+
 def rates(df: DataFrame) -> DataFrame:
     """Share of rows that passed, of those judged, and of rows whose two reviewers differ, of those with two."""
     judged = F.col("quality_pass").isin("pass", "fail")
@@ -116,6 +154,36 @@ def pilot_add(entries: DataFrame, path: str) -> None:
     tables.append(tables.arranged(entries, LOG), path)
 
 
+def pilot_variants(entries: DataFrame, seeds: DataFrame, before: DataFrame | None = None, row: str = "row_no") -> DataFrame:
+    """The entries as rows of a variants table, by hand and pending.
+
+    Numbers go on from those of ``before`` within a seed and kind. An entry without a seed has none in its id and no split.
+    """
+    name = F.when(X.blank(F.col("seed_id")), "noseed").otherwise(F.col("seed_id"))
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in entries.columns else F.lit("")
+    known = seeds.select(F.col("source_id").alias("seed_id"), F.col("split").alias("_split")).dropDuplicates(["seed_id"])
+    rows = entries.select("seed_id", "attack_type", row, *[cell(c).alias(f"_{c}") for c in ("text", "secondary_types", "recoverability", "rule")]).join(known, "seed_id", "left").withColumn("_name", name)
+    seq = F.row_number().over(Window.partitionBy("_name", "attack_type").orderBy(row))
+    if before is not None:
+        had = before.groupBy(F.when(X.blank(F.col("source_id")), "noseed").otherwise(F.col("source_id")).alias("_name"), "attack_type").agg(F.count("*").alias("_had"))
+        rows = rows.join(had, ["_name", "attack_type"], "left")
+    else:
+        rows = rows.withColumn("_had", F.lit(0))
+    rows = rows.withColumn("_seq", (F.coalesce("_had", F.lit(0)) + seq).cast("string"))
+    family = F.create_map(*[F.lit(x) for kv in FAMILY.items() for x in kv])
+    return tables.arranged(
+        rows.select(
+            F.col("seed_id").alias("source_id"),
+            F.concat_ws("-", F.lit("r"), "_name", "attack_type", F.lpad("_seq", F.greatest(F.length("_seq"), F.lit(2)), F.lit("0"))).alias("variant_id"),
+            F.col("_text").alias("text"), F.try_element_at(family, F.col("attack_type")).alias("attack_family"), "attack_type",
+            F.col("_secondary_types").alias("secondary_attack_types"), F.lit("1").alias("is_adversarial"), F.lit("manual").alias("generation_method"),
+            F.when(F.col("_rule") == "", "PILOT-MANUAL").otherwise(F.col("_rule")).alias("generation_rule_id"), F.col("_recoverability").alias("recoverability"),
+            F.lit("pending").alias("quality_pass"), F.col("_split").alias("split"), F.lit("1").alias("is_pilot"),
+        ),
+        PILOT_VARIANT,
+    )
+
+
 def effort(log: DataFrame, minutes: str = "minutes", difficulty: str = "difficulty") -> DataFrame:
     m = F.col(minutes)
     return log.agg(F.count("*").alias("n_rows"), F.sum(m).alias("total_minutes"), F.avg(m).alias("mean_minutes"), F.median(m).alias("median_minutes"), F.min(m).alias("min_minutes"), F.max(m).alias("max_minutes"), F.avg(difficulty).alias("mean_difficulty")).withColumns({f"hours_{n}": X.hours(F.col("mean_minutes"), n) for n in (800, 1000)})

@@ -9,10 +9,25 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
 from corpusmill.session import broadcast_if_small
+from corpusmill.sources import tables
 
 #: The four grades, best first.
 GRADES = ("A_same_tone_attested", "B_same_tone", "C_diff_tone_attested", "D_diff_tone")
 PER_POSITION, PER_WORD = 4, 8
+#: Digits and letters written for characters.
+LEET = {
+    "一": ["1"], "二": ["2"], "三": ["3"], "四": ["4"], "五": ["5"],
+    "六": ["6"], "七": ["7"], "八": ["8"], "九": ["9"], "十": ["10"],
+    "逼": ["B"], "傻": ["S"], "屌": ["D"], "货": ["H"],
+}
+#: Pictures written for characters.
+EMOJI = {
+    "狗": ["🐶"], "猪": ["🐷"], "鸡": ["🐔"], "牛": ["🐮"], "马": ["🐴"],
+    "龟": ["🐢"], "鱼": ["🐟"], "虫": ["🐛"], "蛇": ["🐍"], "鼠": ["🐭"],
+    "猴": ["🐵"], "驴": ["🫏"], "猫": ["🐱"], "兔": ["🐰"],
+    "逼": ["🍺"],
+    "死": ["💀"], "屎": ["💩"],
+}
 #: Words of up to this many characters are expanded whole; longer ones, whose options multiply too far, by number of changes.
 LONGEST = 4
 
@@ -189,3 +204,42 @@ def fully_mapped(words: DataFrame, chars: list[str], key: str = "word", every: b
     """Words all of whose characters, or any, are in a table."""
     inside = lambda c: c.isin(*chars)
     return words.where((F.forall if every else F.exists)(X.characters(F.col(key)), inside))
+
+
+def word_usage(rows: DataFrame, key: str = "target_span_text") -> DataFrame:
+    """word and n, the number of rows with it; a null is the empty word."""
+    return rows.groupBy(F.coalesce(F.col(key), F.lit("")).alias("word")).agg(F.count("*").alias("n"))
+
+
+def char_usage(words: DataFrame, key: str = "word") -> DataFrame:
+    """char and n, its occurrences in the distinct words, however often each is used."""
+    distinct = words.select(F.col(key).alias("word")).where("word <> ''").distinct()
+    return distinct.select(F.explode(X.characters(F.col("word"))).alias("char")).groupBy("char").agg(F.count("*").alias("n"))
+
+
+def graphic_tables(words: DataFrame, forms: Mapping[str, str]) -> dict[str, DataFrame]:
+    """char and replacements of five mapping tables, by the tables' names.
+
+    words: word. forms: a character's other written form, of an alphabet at most. Forms are kept for the words' own
+    characters, and for words with any such character; the fixed tables are given whole, used or not, and words
+    of which every character has a picture are given as pictures.
+    """
+    spark = words.sparkSession
+    used = words.select("word").where("word <> ''").distinct()
+    other = {c: f for c, f in forms.items() if len(f) == 1 and f != c}
+    lookup = F.create_map(*[F.lit(x) for c, alternates in EMOJI.items() for x in (c, alternates[0])])
+    pictured = F.array_join(F.transform(X.characters(F.col("word")), lambda c: lookup[c]), "")
+    nothing = spark.createDataFrame([], "char string, replacements array<string>")
+    return {
+        "similar": lookalikes(char_usage(used), other) if other else nothing,
+        "similar_word": lookalikes(used, other, "word") if other else nothing,
+        "leet": tables.literal(spark, LEET),
+        "emoji": tables.literal(spark, EMOJI),
+        "emoji_word": fully_mapped(used, list(EMOJI)).select(F.col("word").alias("char"), F.array(pictured).alias("replacements")),
+    }
+
+
+def hits(usage: DataFrame, table: Mapping[str, list[str]]) -> DataFrame:
+    """char and n of a table's entries, 0 for those that no word uses."""
+    entries = usage.sparkSession.createDataFrame([(c,) for c in table], "char string")
+    return entries.join(usage.where(F.col("char").isin(*table)), "char", "left").select("char", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

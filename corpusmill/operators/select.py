@@ -190,6 +190,39 @@ def greedy_cover(df: DataFrame, want: int, per_entity: int = 3, per_type: int =
     return picked
 
 
+#: The columns of a seed table.
+SEED_TABLE = ("source_id", "text", "target_span_start", "target_span_end", "target_span_text", "toxicity_label", "source_dataset", "orig_file", "orig_line", "split", "dup_of")
+
+
+def seed_table(pool: DataFrame, want: int, splittable: Column, emoji: Column, letters: str = X.CJK, order: str = "_row", code: Column | None = None) -> DataFrame:
+    """A seed table of at most ``want`` rows that serve all kinds of attack.
+
+    pool: text, toxic_entity, mech_flags, seed_normalized_hash, source_dataset, orig_file, orig_line and ``order``, by which
+    the first of equal candidates is taken. Rows without an entity in the text, or with a long one, are left out. The
+    span is the first entity found. code: what ids begin with, the data set's name unless given.
+    """
+    entities = X.split_list(F.coalesce("toxic_entity", F.lit("")))
+    fit = pool.where(reject_reason(F.col("text"), entities).isNull())
+    entity = F.get(F.filter(entities, lambda e: F.instr(F.col("text"), e) > 0), F.lit(0))
+    marked = F.instr(F.coalesce("mech_flags", F.lit("")), "has_emoji") > 0
+    rows = fit.select("*", entity.alias("entity"), F.col("seed_normalized_hash").alias("hash")).withColumn("types", feasible_types(F.col("entity"), splittable, emoji, letters))
+    rows = rows.withColumn("score", score(F.col("types"), marked, F.col("entity")))
+    names = ("hash", "entity", "score", "types")
+    picked = [(i, *[r[c] for c in names]) for i, r in enumerate(greedy_cover(rows, want))]  # want at most
+    chosen = pool.sparkSession.createDataFrame(picked, "_pick int, _hash string, _entity string, _score int, _types array<string>")
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    met = rows.join(F.broadcast(chosen), same)
+    first = met.withColumn("_n", F.row_number().over(Window.partitionBy("_pick").orderBy(order))).where("_n = 1")
+    named = legacy_ids(first, F.col("source_dataset") if code is None else code, "hash", "_pick")
+    family = lambda t: F.when(t.startswith("PY_") | (t == "Homo"), "phonetic").when(t.startswith("Graph_"), "graphic").otherwise("symbolic")
+    layered = named.withColumn("_layer", F.array_join(F.array_sort(F.array_distinct(F.transform("types", family))), "+"))
+    start = X.find(F.col("text"), F.col("entity"))
+    spans = {"target_span_start": start, "target_span_end": start + F.length("entity"), "target_span_text": F.col("entity"), "toxicity_label": F.lit(1), "dup_of": F.lit("")}
+    return split_cycle(layered, ["source_id"], ["_layer"]).withColumns(spans).select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in SEED_TABLE])
+
+
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
     """One order for everyone who has the seed; 0 leaves the order."""
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key) if seed else df

@@ -49,10 +49,11 @@ def norm_stats(spark, d):
     return leakage.text_stats(_hashed(spark, d), "text", "h")
 
 
-@query("SELECT CASE WHEN length(text) <= 10 THEN '1-10' WHEN length(text) <= 15 THEN '11-15' WHEN length(text) <= 20 THEN '16-20' ELSE '21+' END AS bucket, count(*) AS n_rows FROM (SELECT substr(text, 1, CAST(doc_id % 30 + 1 AS INT)) AS text FROM documents) GROUP BY 1")
+@query("SELECT CASE WHEN length(line) <= 10 THEN '1-10' WHEN length(line) <= 15 THEN '11-15' WHEN length(line) <= 20 THEN '16-20' ELSE '21+' END AS bucket, count(*) AS n_rows FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1")
 def len_bucket_hist(spark, d):
-    rows = T.documents(spark, d).select(F.substring("text", F.lit(1), (F.col("doc_id") % 30 + 1).cast("int")).alias("text"))
-    return rows.groupBy(X.length_bucket(F.col("text")).alias("bucket")).agg(F.count("*").alias("n_rows"))
+    """Of whole lines, as whole documents are all long."""
+    lines = T.documents(spark, d).select(F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy(X.length_bucket(F.col("line")).alias("bucket")).agg(F.count("*").alias("n_rows"))
 
 
 @query(f"SELECT doc_id, regexp_replace(text, '{T.INVISIBLE}', '', 'g') = text AS no_marks, length(regexp_replace(text, '{T.SPACE_PUNCT}', '', 'g')) AS n_left, md5({T.norm_sql('text')}) AS norm_md5 FROM documents")
@@ -246,13 +247,13 @@ def split_cycle(spark, d):
     return select.split_cycle(T.documents(spark, d), ["doc_id"], ["lang"]).select("doc_id", "split")
 
 
-_ENT = "regexp_extract_all(substr(text, 1, 40), '[a-z]+')"
+_ENT = "regexp_extract_all(text, '[a-z]+')"
 
 
 @query(f"SELECT coalesce(CASE WHEN len(e) = 0 THEN 'no_entity' WHEN len(list_filter(e, lambda x: contains(text, x))) = 0 THEN 'not_in_text' WHEN list_max(list_transform(list_filter(e, lambda x: contains(text, x)), lambda x: length(x))) > 6 THEN 'too_long' END, 'kept') AS reason, count(*) AS n_rows FROM (SELECT text, CASE doc_id % 5 WHEN 0 THEN [] WHEN 1 THEN ['~~'] ELSE {_ENT}[1:2] END AS e FROM documents) GROUP BY 1")
 def reject_reasons(spark, d):
     i = F.col("doc_id") % 5
-    e = F.when(i == 0, F.array().cast("array<string>")).when(i == 1, F.array(F.lit("~~"))).otherwise(F.slice(F.regexp_extract_all(F.substring("text", 1, 40), F.lit("[a-z]+"), F.lit(0)), 1, 2))
+    e = F.when(i == 0, F.array().cast("array<string>")).when(i == 1, F.array(F.lit("~~"))).otherwise(F.slice(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0)), 1, 2))
     rows = T.documents(spark, d).select("text", e.alias("e"))
     return rows.groupBy(F.coalesce(select.reject_reason(F.col("text"), F.col("e")), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n_rows"))
 
@@ -484,6 +485,26 @@ def char_quantifiers(spark, d):
     return maps.fully_mapped(langs, chars, "lang", every=False).join(every, "lang", "left").select("lang", F.coalesce("every_char", F.lit(False)).alias("every_char"))
 
 
+@query(f"WITH {T.SEEDS} SELECT span AS word, count(*) AS n FROM seeds GROUP BY 1")
+def word_usage(spark, d):
+    return maps.word_usage(T.seeds(spark, d))
+
+
+@query(f"WITH {T.SEEDS} SELECT c AS char, count(*) AS n FROM (SELECT unnest(string_split(span, '')) AS c FROM (SELECT DISTINCT span FROM seeds)) GROUP BY 1")
+def char_usage(spark, d):
+    return maps.char_usage(maps.word_usage(T.seeds(spark, d)))
+
+
+_OTHER = "replace(replace({0}, 'e', 'ë'), 's', 'š')"
+
+
+@query(f"WITH {T.SEEDS}, w AS (SELECT DISTINCT span FROM seeds), c AS (SELECT DISTINCT unnest(string_split(span, '')) AS c FROM w) SELECT 'similar' AS name, c AS char, {_OTHER.format('c')} AS replacement FROM c WHERE {_OTHER.format('c')} <> c UNION ALL SELECT 'similar_word', span, {_OTHER.format('span')} FROM w WHERE {_OTHER.format('span')} <> span")
+def graphic_maps(spark, d):
+    made = maps.graphic_tables(maps.word_usage(T.seeds(spark, d)), {"e": "ë", "s": "š"})
+    one, two = (made[name].select(F.lit(name).alias("name"), "char", F.col("replacements")[0].alias("replacement")) for name in ("similar", "similar_word"))
+    return one.unionByName(two)
+
+
 _HOMOPHONES = [("ma1", "ma1"), ("ma1", "ma3"), ("lan2", "lang2"), ("nan2", "lan2"), ("zi4", "zhi4"), ("fei1", "hei1"), ("ren2", "dou4"), ("quan2", "quan2"), ("xue", "xie2")]
 
 
