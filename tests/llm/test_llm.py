@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm import bpe, components, exact_dedup, line_dedup, near_text, packing, perfect_hash, quality, sharding, simhash, token_counts, token_files, warc
 from corpusmill.llm.library_tokens import ChunkEncoder
 from corpusmill.llm.queries import tokenizer_file
-from corpusmill.session import scratch_path
+from corpusmill.session import materialize, scratch_path
 
 tokenizers = pytest.importorskip("tokenizers")
 
@@ -96,6 +96,35 @@ def test_line_dedup_edges(spark):
     assert sorted(r.text for r in same.collect()) == ["", "", "a b c"]
 
 
+def test_line_dedup_disk(spark, monkeypatch):
+    """Many more lines to verify than are broadcast at a time: whole sets are stored for these only, and plans stay short."""
+    rng = random.Random(3)
+    texts = [None, ""]
+    for _ in range(15):
+        words = [f"w{rng.randrange(3000)}" for _ in range(30)]
+        texts += [" ".join(words), " ".join([*words[:-1], "other"]) + "\n" + " ".join(f"x{rng.randrange(10**9)}" for _ in range(40))]
+    held = {}
+
+    def spied(df, name, **options):
+        out = materialize(df, name, **options)
+        held[name] = [*held.get(name, []), (out.count(), "array<bigint>" in dict(df.dtypes).values())]
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", spied)
+    monkeypatch.setattr(line_dedup, "BROADCAST_CLASSES", 10)
+    rows = [(None, "a b c d e f g h"), *list(enumerate(texts)), (4, texts[4]), (None, "a b c d e f g h i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = Counter(tuple(r)[2:] + (r.doc_id,) for r in line_dedup.line_classes(df).select("doc_id", "rid", "line_no", "class_doc_id", "class_line_no", "n_links", "removed").collect())
+    order = [i for i, _ in sorted(enumerate(rows), key=lambda x: (x[1][0] is not None, x[1][0] or 0, x[0]))]
+    want = brute_lines([(k, rows[i][1]) for k, i in enumerate(order)])
+    name = lambda k: rows[order[k]][0]
+    assert got == Counter((n, name(c), m, links, gone, name(k)) for (k, n), (c, m, links, gone) in want.items())
+    assert {n for n, found in held.items() if any(sets for _, sets in found)} == {"line-sets"}
+    assert len(held["line-sets"]) > 1 and sum(n for n, _ in held["line-sets"]) < sum(n for n, _ in held["lines"])
+    keys = line_dedup._keys(F.array(F.xxhash64("text")), [100] * line_dedup.BUCKETS)
+    assert len(df.select(keys)._jdf.queryExecution().toString()) < 8_000_000
+
+
 # ------------------------------------------------------------------ 2
 def brute_print(text, k):
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
