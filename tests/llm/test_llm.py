@@ -565,6 +565,32 @@ def test_pipeline_near_dedup(spark, sf):
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(spark, texts), sf).collect()} == {k for k, v in want.items() if k == v}
 
 
+def test_pipeline_near_dedup_fingerprints(spark, sf, monkeypatch):
+    """The stage's groups come from SimHash; what these join wrongly stays apart, and what they miss is joined."""
+    import corpus_pipeline
+
+    texts = near_copies(random.Random(7)) + ["p q r s", "P q  r s", "many words " * 40, "many words " * 50 + "and one"]
+    found, verified, links = [], [], near_text.similar_links
+
+    def fingerprints(rows, **how):
+        found.append((how, near_duplicates(rows, **how)))
+        return found[-1][1]
+
+    def spied(docs, classes, shingle, ranks, similarity, likely):
+        verified.append(likely.count())
+        return links(docs, classes, shingle, ranks, similarity, likely)
+
+    near_duplicates = simhash.near_duplicates
+    monkeypatch.setattr(simhash, "near_duplicates", fingerprints)
+    monkeypatch.setattr(near_text, "similar_links", spied)
+    want = {k for k, v in brute_near(list(enumerate(texts))).items() if k == v}
+    df = docs(spark, texts)
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, sf).collect()} == want
+    assert [how for how, _ in found] == [{"shingle": 3, "distance": 2}] and verified[0] > 0
+    all_one = lambda rows: rows.select("doc_id", F.lit(0).cast("long").alias("component_id"))
+    assert {r.doc_id for r in near_text.keep_one(df, grouped=all_one).collect()} == want
+
+
 def plain_features(text):
     text = text or ""
     words, lines = text.encode().split(), [x for x in text.split("\n") if x.encode().split()]
