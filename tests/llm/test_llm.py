@@ -125,6 +125,22 @@ def test_line_dedup_disk(spark, monkeypatch):
     assert len(df.select(keys)._jdf.queryExecution().toString()) < 8_000_000
 
 
+def test_line_dedup_leaves_no_tables(spark, monkeypatch):
+    """The texts are joined after the tables of lines are gone."""
+    held = []
+
+    def spied(df, name, **options):
+        held.append((name, materialize(df, name, **options)))
+        return held[-1][1]
+
+    monkeypatch.setattr(line_dedup, "materialize", spied)
+    out = line_dedup.without_repeats(docs(spark, ["a b c\nd e f", "d e f\ng"]))
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    there = lambda at: path(at).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(at))
+    assert [there(at) for name, df in held if name in ("lines", "line-known") for at in df.inputFiles()[:1]] == [False, False]
+    assert sorted(r.text for r in out.collect()) == ["a b c\nd e f", "g"]
+
+
 # ------------------------------------------------------------------ 2
 def brute_print(text, k):
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
