@@ -11,6 +11,8 @@ library, as those are found before any other cut.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import os
 import re
@@ -19,6 +21,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 #: Unicode's White_Space, which is what the tokenizers' patterns mean by \\s.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -181,6 +184,15 @@ class ChunkEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, ranked: bool | None = None) -> ChunkEncoder:
+def encoder(path: str, ranked: bool | None = None, limit: int = CACHE_LIMIT) -> ChunkEncoder:
     """One encoder for each worker process and tokenizer; ranked: what the driver's encoder found, so that workers need not try."""
-    return ChunkEncoder(path, ranked=ranked)
+    return ChunkEncoder(path, limit, ranked)
+
+
+def give_back() -> None:
+    """Return to the system what this worker process has freed, such as the memory of earlier stages' tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)

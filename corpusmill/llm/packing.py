@@ -31,13 +31,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.library_tokens import encoder
-from corpusmill.session import materialize, quoted
+from corpusmill.llm.library_tokens import encoder, give_back
+from corpusmill.session import arrow_rows, materialize, quoted
 
 LENGTH = 1024
 SEQUENCES = 64
 #: Parts' bases are broadcast up to this many rows (partitions times sources); beyond it the join shuffles.
 BROADCAST_PARTS = 1_000_000
+#: Rows of whole texts that a worker and its executor hold at a time.
+BATCH = 1024
+#: Entries of a worker's cache of chunks: workers share an executor's memory with a heap that earlier stages have filled.
+CACHED = 150_000
 
 
 # ------------------------------------------------------------------ the schedule
@@ -122,11 +126,12 @@ class Windows:
 # ------------------------------------------------------------------ the operator
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int, ranked: bool) -> Iterator[pa.RecordBatch]:
     """Ids of each document with the end id, and its place in this partition's part of its source's queue."""
-    codes, part, places = encoder(path, ranked), TaskContext.get().partitionId(), {}
+    codes, part, places = encoder(path, ranked, CACHED), TaskContext.get().partitionId(), {}
+    give_back()
     end = np.array([end_id], codes.dtype).tobytes()
     for batch in batches:
-        for lo in range(0, batch.num_rows, 1024):
-            rows = batch.slice(lo, 1024)
+        for lo in range(0, batch.num_rows, BATCH):
+            rows = batch.slice(lo, BATCH)
             ids = [x + end for x in codes.encode(t or "" for t in rows.column(2).to_pylist())]
             sizes, at = [len(x) // codes.dtype.itemsize for x in ids], []
             for source, n in zip(rows.column(1).to_pylist(), sizes, strict=True):
@@ -172,7 +177,8 @@ def pack(
     source = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.coalesce(F.col(quoted(source_col)).cast("string"), F.lit("")).alias("source"), F.col(quoted(text_col)).alias("text"))
     own = encoder(tokenizer)
     width, ranked = own.dtype.itemsize, own.ranked
-    coded = materialize(source.mapInArrow(lambda b: _encode(b, tokenizer, end_id, ranked), "doc_id long, source string, part int, at long, n long, ids binary"), "packed-ids")
+    with arrow_rows(docs.sparkSession, BATCH):
+        coded = materialize(source.mapInArrow(lambda b: _encode(b, tokenizer, end_id, ranked), "doc_id long, source string, part int, at long, n long, ids binary"), "packed-ids")
     parts = materialize(coded.groupBy("part", "source").agg(F.sum("n").alias("n")), "packed-parts")
     # totals: a row a source; bases: a running sum over partitions within each source
     totals = {r["source"]: r["n"] for r in parts.groupBy("source").agg(F.sum("n").alias("n")).collect()}

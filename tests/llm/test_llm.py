@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, components, exact_dedup, line_dedup, near_text, packing, perfect_hash, quality, sharding, simhash, token_counts, token_files, warc
+from corpusmill.llm import bpe, components, exact_dedup, library_tokens, line_dedup, near_text, packing, perfect_hash, quality, sharding, simhash, token_counts, token_files, warc
 from corpusmill.llm.library_tokens import ChunkEncoder
 from corpusmill.llm.queries import tokenizer_file
 from corpusmill.session import materialize, scratch_path
@@ -387,6 +387,30 @@ def test_packing(spark, weights):
     assert (packing.padded(512), packing.padded(500)) == (512, 1024)
 
 
+def test_packing_memory(spark, monkeypatch):
+    """A worker is never sent more than a bounded number of texts at once, and the session's own setting holds again afterwards."""
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+
+    def spied(df, table, **options):
+        seen.append((table, int(spark.conf.get(name))))
+        return materialize(df, table, **options)
+
+    monkeypatch.setattr(packing, "materialize", spied)
+    before = spark.conf.get(name)
+    packing.pack(docs(spark, ["a b", None]), tokenizer_file("byte_bpe_50k.json"))
+    assert dict(seen)["packed-ids"] <= 1024 < int(before) == dict(seen)["packed-parts"] and spark.conf.get(name) == before
+
+
+def test_chunk_cache_bound():
+    """What a worker of packing holds of chunks seen: two generations of CACHED and the last text's chunks."""
+    coder = library_tokens.encoder(tokenizer_file("byte_bpe_50k.json"), True, 1000)
+    for x in range(50):
+        list(coder.encode([" ".join(f"{x}a{i}" for i in range(200))]))
+    assert coder.limit == 1000 and max(len(coder.cache), len(coder.older), len(coder.parts)) <= 1200
+    assert packing.CACHED < library_tokens.CACHE_LIMIT
+    library_tokens.give_back()
+
+
 # ------------------------------------------------------------------ 8
 def brute_stats(t):
     words, seen, repeats = (t or "").encode().split(), set(), 0
