@@ -125,6 +125,16 @@ def test_line_dedup_disk(spark, monkeypatch):
     assert len(df.select(keys)._jdf.queryExecution().toString()) < 8_000_000
 
 
+def test_line_dedup_one_exchange(spark):
+    """Postings are shuffled once for both sides of the join on tokens."""
+    rows = [(t, c, 0, 0, (10 << 32) + i) for c in range(40) for i, t in enumerate(range(c % 7, c % 7 + 5))]
+    postings = materialize(spark.createDataFrame(rows, "token int, cls long, all long, high long, at long"), "postings")
+    found = line_dedup.similar_classes(postings)
+    assert found.count() and len(found.collect()) == len({tuple(r) for r in found.collect()})
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan and plan.count("REPARTITION_BY_COL") - plan.count("ReusedExchange") == 1, plan
+
+
 def test_line_dedup_leaves_no_tables(spark, monkeypatch):
     """The texts are joined after the tables of lines are gone."""
     held = []
