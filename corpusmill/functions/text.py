@@ -83,6 +83,11 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
 
 
+def without_blanks(text: Column) -> Column:
+    """Without blanks (category Zs) at both ends, as SQL's trim has it; line breaks and tabs stay."""
+    return F.regexp_replace(text, r"^\p{Zs}+|\p{Zs}+\z", "")
+
+
 def blank(text: Column) -> Column:
     """Null, empty or white space only."""
     return F.coalesce(trimmed(text), F.lit("")) == ""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -156,13 +156,14 @@ def by_word(curated: DataFrame) -> DataFrame:
     return curated.groupBy(F.col("word").alias("char")).agg(F.transform(ordered, lambda x: x["candidate"]).alias("replacements"))
 
 
-def split_reasons(cands: DataFrame, ranks: DataFrame, least: int = 24, most_rank: int = 3200, letter: str = X.CJK) -> DataFrame:
+def split_reasons(cands: DataFrame, ranks: DataFrame, least: int = 24, most_rank: int = 3200, letter: str = X.CJK, trim: Callable[[Column], Column] = X.trimmed) -> DataFrame:
     """char, replacements and reason (null: kept), the first of seven that holds.
 
-    ranks: char, count, rank; an empty one leaves the last two reasons out. A missing rank is beyond any.
+    ranks: char, count, rank; an empty one leaves the last two reasons out. A missing rank is beyond any. trim: what is cut off both
+    cells first, all white space unless given.
     """
     with_freq = not ranks.isEmpty()
-    ch, rep = X.trimmed(F.coalesce("char", F.lit(""))), X.trimmed(F.coalesce("replacements", F.lit("")))
+    ch, rep = trim(F.coalesce("char", F.lit(""))), trim(F.coalesce("replacements", F.lit("")))
     rows = cands.select("*", ch.alias("_ch"), rep.alias("_rep")).withColumn("_parts", X.characters(F.col("_rep")))
     one = rf"\A{letter}\z"
     small = broadcast_if_small(ranks, 200_000)

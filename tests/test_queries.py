@@ -38,6 +38,16 @@ def test_same_as_sql(spark, duck, sf, name):
     assert got == want
 
 
+def test_split_filter_white_space(spark, tmp_path):
+    """Line breaks at the ends of a cell are parts, and blanks of any width are not."""
+    texts = {4: "Enon.\nAt", 9: "ab\u2003c\u00a0d", 14: "xe\tab\n", 19: "a\n\nab", 24: "\u3000 aab c", 29: "oa  bc"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = {tuple(r) for r in QUERIES["split_filter"](spark, str(tmp_path)).select("doc_id", "reason").collect()}
+    assert got == set(con.execute(ORACLES["split_filter"]).fetchall())
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_others_run(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
