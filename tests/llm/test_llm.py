@@ -90,6 +90,28 @@ def test_line_dedup_near_copies(spark, monkeypatch):
     assert got == {k: (k, 199, k > 0) for k in range(200)}
 
 
+def test_line_dedup_sends_sets_once(spark, monkeypatch):
+    """Whole sets go to the label of their pairs, not along with each pair, and those of hot lists are not stored again."""
+    monkeypatch.setattr(line_dedup, "HOT", 32)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plans, stored = {}, []
+
+    def spied(df, name, **options):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        stored.extend([name] if "array<bigint>" in dict(df.dtypes).values() else [])
+        return materialize(df, name, **options)
+
+    monkeypatch.setattr(line_dedup, "materialize", spied)
+    texts = [" ".join([f"g{k % 9}w{i}" for i in range(40) if i != k % 40] + [f"own{k}"]) for k in range(90)] + [" ".join([f"h{i}" for i in range(40)] + [f"own{k}"]) for k in range(60)]
+    try:
+        got = {r.doc_id: r.n_links for r in line_dedup.line_classes(docs(spark, texts)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {k: 9 if k < 90 else 59 for k in range(150)}
+    assert "hashpartitioning(label" in plans["line-pairs"] and "hashpartitioning(b#" not in plans["line-pairs"]
+    assert set(stored) == {"line-sets"}
+
+
 def test_line_dedup_edges(spark):
     assert line_dedup.line_classes(empty(spark)).count() == 0 and line_dedup.without_repeats(empty(spark)).count() == 0
     same = line_dedup.without_repeats(docs(spark, ["a b c", "a b c", "a b c"], [4, 4, None]).coalesce(1))
