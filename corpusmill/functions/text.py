@@ -5,6 +5,7 @@ There is one ``norm``; everything that compares texts goes through it. Positions
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Callable, Mapping
 
@@ -28,9 +29,23 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t))
 
 
+@functools.cache
+def settled() -> list[tuple[int, int]]:
+    """Ranges of characters that NFKC leaves as they are whatever stands beside them: Latin letters, punctuation, kana, and otherwise long ranges only."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
+    joined = {int(d[1], 16) for d in pairs if len(d) == 2 and not d[0].startswith("<")} | {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
+    alone = lambda c: not 0xD800 <= c < 0xE000 and c not in joined and not unicodedata.combining(chr(c)) and unicodedata.is_normalized("NFKC", chr(c))
+    ends = [c for c in range(0x110001) if (c < 0x110000 and alone(c)) != (c > 0 and alone(c - 1))]
+    return [(a, b - 1) for a, b in zip(ends[::2], ends[1::2], strict=True) if a < 0x300 or 0x2000 <= a < 0x2100 or 0x3000 <= a < 0x3100 or b - a >= 256]
+
+
 def nfkc(text: Column) -> Column:
-    """Unicode NFKC, in Arrow batches; Spark has no function for it."""
-    return _nfkc(text)
+    """Unicode NFKC, in Arrow batches, as Spark has no function for it; only texts with a character that isn't settled go to Python."""
+    others = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in settled()[1:])
+    # a class of many ranges is slow, so it is asked of what the first one hasn't got only
+    unsettled = rf"[^\x00-\x{{{settled()[0][1]:X}}}](?<![{others}])"
+    odd = (F.octet_length(text) > F.length(text)) & text.rlike(unsettled)
+    return F.coalesce(_nfkc(F.when(odd, text)), text)
 
 
 def strip_invisible(text: Column) -> Column:

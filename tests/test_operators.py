@@ -1,6 +1,8 @@
 import itertools
 import random
+import unicodedata
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -357,3 +359,24 @@ def test_word_candidates_of_any_length(spark):
     want = {w: x for w in words if (x := _brute_candidates(w, sounds, freq, attested))}
     assert {w: sorted(x) for w, x in found.items()} == want
     assert any(len(w) > maps.LONGEST for w in want)
+
+
+def test_nfkc_settled_texts_stay_out_of_python(spark, monkeypatch):
+    """Texts of characters that NFKC leaves alone don't reach a worker; all others come out as Python has them."""
+    odd = ["ﬁne", "e\u0301", "e\u0300\u0327", "\u1100\u1161\u11a8", "한\u11a8", "Ａ１", "中文，测试", "x²", "½ ª", "क\u093c", "か\u3099", "\U0001d54f", "\u09c7\u09be"]
+    plain = ["", "plain", "Größe façade – déjà", "中文。", "ガラス", "한국", "line\nbreak\t", None]
+    want = {t: None if t is None else unicodedata.normalize("NFKC", t) for t in [*odd, *plain]}
+    rows = spark.createDataFrame([(t,) for t in want], "t string")
+    assert {r.t: r.n for r in rows.select("t", X.nfkc(F.col("t")).alias("n")).collect()} == want
+    letters = [chr(c) for a, b in X.settled() for c in {a, (a + b) // 2, b}]
+    joined = ["".join(random.Random(k).choices(letters, k=30)) for k in range(200)]
+    assert all(unicodedata.is_normalized("NFKC", t) for t in joined)
+
+    @F.pandas_udf("string")
+    def none_come(texts: pd.Series) -> pd.Series:
+        assert texts.isna().all()
+        return texts
+
+    monkeypatch.setattr(X, "_nfkc", none_come)
+    told = spark.createDataFrame([(t,) for t in plain], "t string")
+    assert {r.t: r.n for r in told.select("t", X.nfkc(F.col("t")).alias("n")).collect()} == {t: t for t in plain}
