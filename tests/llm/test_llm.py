@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from corpusmill import session
 from corpusmill.llm import bpe, components, exact_dedup, library_tokens, line_dedup, near_text, packing, perfect_hash, quality, sharding, simhash, token_counts, token_files, warc
 from corpusmill.llm.library_tokens import ChunkEncoder
 from corpusmill.llm.queries import tokenizer_file
@@ -102,6 +103,7 @@ def test_line_dedup_sends_sets_once(spark, monkeypatch):
         return materialize(df, name, **options)
 
     monkeypatch.setattr(line_dedup, "materialize", spied)
+    monkeypatch.setattr(session, "materialize", spied)
     texts = [" ".join([f"g{k % 9}w{i}" for i in range(40) if i != k % 40] + [f"own{k}"]) for k in range(90)] + [" ".join([f"h{i}" for i in range(40)] + [f"own{k}"]) for k in range(60)]
     try:
         got = {r.doc_id: r.n_links for r in line_dedup.line_classes(docs(spark, texts)).collect()}
@@ -112,6 +114,26 @@ def test_line_dedup_sends_sets_once(spark, monkeypatch):
     assert set(stored) == {"line-sets"}
 
 
+def test_near_dedup_sends_sets_once(spark, monkeypatch):
+    """Whole sets go to the label of their pairs, not along with each pair."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plans = {}
+
+    def spied(df, name, **options):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return materialize(df, name, **options)
+
+    monkeypatch.setattr(session, "materialize", spied)
+    monkeypatch.setattr(near_text, "materialize", spied)
+    texts = [" ".join([f"g{k % 4}w{i}" for i in range(80)] + [f"own{k}"]) for k in range(24)]
+    try:
+        got = {r.doc_id: r.component_id for r in near_text.near_duplicates(docs(spark, texts)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {k: k % 4 for k in range(24)}
+    assert "hashpartitioning(label" in plans["near-links"] and "hashpartitioning(b#" not in plans["near-links"]
+
+
 def test_line_dedup_edges(spark):
     assert line_dedup.line_classes(empty(spark)).count() == 0 and line_dedup.without_repeats(empty(spark)).count() == 0
     same = line_dedup.without_repeats(docs(spark, ["a b c", "a b c", "a b c"], [4, 4, None]).coalesce(1))
